@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import secrets, simhash
+from tallyspark.llm import langid, mixing, secrets, sharding, simhash, tokens
 from tallyspark.session import load
 
 
@@ -15,6 +15,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.taken(*mixing.mix(load(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(load(spark, sf_dir, "documents"))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_documents(load(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -22,6 +39,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op4_mixing": op4_mixing,
+    "op6_langid": op6_langid,
+    "op7_sharding": op7_sharding,
+    "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
 }
 
