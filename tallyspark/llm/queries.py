@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import langid, mixing, secrets, sharding, simhash, tokens
+from tallyspark.llm import decontaminate, langid, mixing, secrets, sharding, simhash, tokens
 from tallyspark.session import load
 
 
@@ -20,6 +20,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -40,10 +44,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
     "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.oracle(),
+}
