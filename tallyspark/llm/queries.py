@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, langid, mixing, secrets, sharding, simhash, tokens
+from tallyspark.llm import decontaminate, langid, mixing, pii, secrets, sharding, simhash, tokens
 from tallyspark.session import load
 
 
@@ -15,6 +15,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(load(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.taken(*mixing.mix(load(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
