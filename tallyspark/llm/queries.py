@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, langid, mixing, pii, secrets, sharding, simhash, tokens
+from tallyspark.llm import ann, decontaminate, langid, mixing, pii, secrets, sharding, simhash, tokens
 from tallyspark.session import load
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(load(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_secrets": op2_secrets,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
