@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, decontaminate, langid, mixing, pii, secrets, sharding, simhash, tokens
+from tallyspark.llm import ann, decontaminate, html, langid, mixing, pii, secrets, sharding, simhash, tokens
 from tallyspark.session import load
 
 
@@ -41,6 +41,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(load(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_langid": op6_langid,
     "op7_sharding": op7_sharding,
+    "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
 }
