@@ -18,9 +18,11 @@ PAD = int(COUNTS.max())
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if values.max(initial=0) < 1 << 52:
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     out = np.zeros(values.shape, np.uint8)
-    for bits in sorted({w for _, w in LAYOUTS if w < 64}):
-        out[values >= (1 << bits)] = bits + 1
+    for bits in range(64):
+        out += values >= np.uint64(1 << bits)
     return out
 
 
@@ -37,8 +39,9 @@ def _choices(widths: np.ndarray) -> np.ndarray:
     for selector in range(len(LAYOUTS) - 1, 0, -1):
         count, bits = LAYOUTS[selector]
         size = 1 << (count.bit_length() - 1)
-        most = np.maximum(spans[size][:, :n], spans[size][:, count - size : count - size + n])
-        best[most <= bits] = selector
+        fits = np.maximum(spans[size][:, :n], spans[size][:, count - size : count - size + n]) <= bits
+        if fits.any():
+            np.copyto(best, np.uint8(selector), where=fits)
     return best
 
 

@@ -31,8 +31,8 @@ HEAD = struct.Struct("<4sIQQQ")
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT = 1 << 18
 #: Words kept by a worker; beyond it, those not used since the last turn are dropped.
-CACHE = 300_000
-SLICE = 1_500_000
+CACHE = 450_000
+SLICE = 4_000_000
 #: A space that the tokenizer's word pattern always breaks before.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 UNSURE = re.compile(r"\s ")
@@ -56,27 +56,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.tokenizer.model.dropout = None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        #: The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
+        self.table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _miss(self, stems: list[str]) -> list[bytes]:
+        """The ids of new words; a run of letters is one word of the tokenizer's pattern and goes to its model at once."""
+        out: list[bytes] = [b""] * len(stems)
+        rest = []
+        tokenize, table = self.tokenizer.model.tokenize, self.table
+        for i, s in enumerate(stems):
+            if (s[1:] if s[:1] == " " else s).isalpha():
+                out[i] = np.array([t.id for t in tokenize(s.encode().decode("latin-1").translate(table))], "<u4").tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        out = [self.new.get(p) for p in pieces]
-        missing = []
-        for i, (p, x) in enumerate(zip(pieces, out, strict=True)):
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as bytes; a comma or full stop behind letters is a word of its own."""
+        cut = [p[-1:] in self.marks and p[:-1].strip(" ").isalpha() for p in pieces]
+        stems = [p[:-1] if c else p for p, c in zip(pieces, cut, strict=True)]
+        out = [self.new.get(p) for p in stems]
+        missing: dict[str, list[int]] = {}
+        for i, x in enumerate(out):
             if x is None:
+                p = stems[i]
                 if (x := self.old.get(p)) is None:
-                    missing.append(i)
+                    missing.setdefault(p, []).append(i)
                 else:
                     out[i] = self.new[p] = x
         if missing:
-            found = self.tokenizer.encode_batch_fast([pieces[i] for i in missing], add_special_tokens=False)
-            for i, e in zip(missing, found, strict=True):
-                out[i] = e.ids
-                if len(pieces[i]) < 64:
-                    self.new[pieces[i]] = e.ids
+            for p, ids in zip(missing, self._miss(list(missing)), strict=True):
+                for i in missing[p]:
+                    out[i] = ids
+                if len(p) < 64:
+                    self.new[p] = ids
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        return out
+        marks = self.marks
+        return [ids + marks[p[-1]] if c else ids for ids, p, c in zip(out, pieces, cut, strict=True)]
 
     def encode(self, texts: list[str], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, ids of each text); ``end`` is appended to each text."""
@@ -105,9 +130,9 @@ class Encoder:
             counts = counts + 1
         ids = self._ids(pieces)
         if end is not None:
-            ids.append([end])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.int64, int(sizes.sum()))
+            ids.append(np.array([end], "<u4").tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(sizes) - sizes
         each = sizes[where]
         total = int(each.sum())
