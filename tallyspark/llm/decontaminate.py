@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import stage
+
 WINDOW = 5
 SHARE = 0.8
 #: Rows of benchmark windows up to which they are broadcast (40 bytes each); beyond it, the join shuffles.
@@ -75,6 +77,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
     else:
         hits = found.join(side, "h").withColumn("doc_slots", _slots("raw", "typed", "at"))
     hits = hits.select(F.col("key").alias("doc_id"), "item_id", "h", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
+    hits = stage(docs.sparkSession, hits, "hits")  # read twice below; the texts are scanned once
     # One row for each window and filling; an alignment's fillings of one slot value must agree.
     filled = hits.select("doc_id", "item_id", "shift", F.explode("slots").alias("s")).where("s.item_slots is not null")
     clash = filled.groupBy("doc_id", "item_id", "shift", "s.item_slots").agg(F.min("s.doc_slots").alias("lo"), F.max("s.doc_slots").alias("hi")).where("lo <> hi")
