@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+
+
+
+from tallyspark.plans import lists, stats
+
+_PARTS = (lists.R, stats.R)
+QUERIES = {k: f for part in _PARTS for k, f in part.queries.items()}
+ORACLES = {k: s for part in _PARTS for k, s in part.oracles.items()}
+FLAGSHIP = "list_page"
