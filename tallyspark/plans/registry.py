@@ -5,9 +5,9 @@ from __future__ import annotations
 
 
 
-from tallyspark.plans import lists, stats
+from tallyspark.plans import lists, scalars, stats, streams
 
-_PARTS = (lists.R, stats.R)
+_PARTS = (lists.R, stats.R, scalars.R, streams.R)
 QUERIES = {k: f for part in _PARTS for k, f in part.queries.items()}
 ORACLES = {k: s for part in _PARTS for k, s in part.oracles.items()}
 FLAGSHIP = "list_page"
