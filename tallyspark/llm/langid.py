@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 #: Symbols of text handled at once by a worker; a longer text is handled alone.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -104,14 +104,18 @@ class CrossParser:
         return table
 
     def _table(self, moves: list[dict[int, int]], base: int) -> tuple[np.ndarray, int]:
-        """Rows of twice the place of the next state's row, plus one where a phrase ends before the symbol."""
-        a = self.size
-        fresh = np.array([2 * (base + moves[0].get(c, 0) * a) + 1 for c in range(a)], np.int32)
-        table = np.tile(fresh, (len(moves), 1))
+        """Rows of twice the place of the next state's row, plus one where a phrase ends before the symbol.
+
+        A symbol that the sample lacks is a phrase of its own: it leads to a last state, which every symbol leaves by a new phrase.
+        """
+        a, lost = self.size, len(moves)
+        fresh = np.array([2 * (base + moves[0].get(c, lost) * a) + 1 for c in range(a)], np.int32)
+        table = np.tile(fresh, (lost + 1, 1))
+        table[0] -= 1  # a block's first symbol ends nothing
         for s, row in enumerate(moves):
             for c, to in row.items():
                 table[s, c] = 2 * (base + to * a)
-        return table.ravel(), len(moves) * a
+        return table.ravel(), (lost + 1) * a
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by language and text, letters by text)."""
@@ -198,7 +202,7 @@ def _parser(key: str, texts: dict[str, str], alphabet: int) -> CrossParser:
     return _parsers[key]
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
@@ -215,7 +219,7 @@ def _identify(batches: Iterable[pa.RecordBatch], model, key: str, alphabet: int)
     parser = _parser(key, model.value, alphabet)
     for batch in batches:
         got: list[tuple[str, float, float]] = []
-        for part in _slices([t.as_py() or "" for t in batch.column(1)]):
+        for part in _slices(t.as_py() or "" for t in batch.column(1)):
             got += parser.predict(part)
         langs, scores, costs = ([x[i] for x in got] for i in range(3))
         yield pa.RecordBatch.from_arrays(
@@ -247,7 +251,7 @@ def keep_identified(docs: DataFrame, most_bits: float = 10.0, sample: Sample | N
         parser = _parser(key, model.value, alphabet)
         for batch in batches:
             mask: list[bool] = []
-            for part in _slices([t.as_py() or "" for t in batch.column(at)]):
+            for part in _slices(t.as_py() or "" for t in batch.column(at)):
                 mask += [lang != "und" and cost <= most_bits for lang, _, cost in parser.predict(part)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
