@@ -11,6 +11,9 @@ keep together in the order of their texts; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import struct
 import zlib
@@ -31,8 +34,8 @@ HEAD = struct.Struct("<4sIQQQ")
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT = 1 << 18
 #: Words kept by a worker; beyond it, those not used since the last turn are dropped.
-CACHE = 450_000
-SLICE = 4_000_000
+CACHE = 200_000
+SLICE = 2_500_000
 #: A space that the tokenizer's word pattern always breaks before.
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 UNSURE = re.compile(r"\s ")
@@ -222,6 +225,16 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, segment: int) -> Iterat
                     yield close()
     if docs:
         yield close()
+    encoder.new, encoder.old = {}, {}
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a finished task's memory to the system: Python workers stay, beside those of other tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps its memory
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
