@@ -41,7 +41,8 @@ def rent_for_budget(price: Column, charges: Column, included: Column) -> Column:
 
 
 def tenant_fee_cap(area: Column) -> Column:
-    return F.round(area * FEE_CAP_PER_SQM, 2)
+    """The fees that a tenant may be asked, to the cent, halves up."""
+    return half_up(area * FEE_CAP_PER_SQM * 100) / 100
 
 
 def deposit_cap(rent: Column, furnished: Column) -> Column:

@@ -213,7 +213,7 @@ def sizes(t):
 
 
 @R.add("l13_caps", """
-SELECT id, round(area * 13.09::DOUBLE, 2) AS fee_cap, price * CASE WHEN furnished = false THEN 1 ELSE 2 END AS deposit_cap, CASE WHEN rooms IS NULL THEN 20.43 WHEN rooms <= 2 THEN 22.74 ELSE 19.73 END::DOUBLE AS reference, charges * 20 > area * 13.09::DOUBLE + greatest(1.0, area * 13.09::DOUBLE * 0.02::DOUBLE) AS over FROM lst""")
+SELECT id, floor(area * 13.09::DOUBLE * 100 + 0.5) / 100 AS fee_cap, price * CASE WHEN furnished = false THEN 1 ELSE 2 END AS deposit_cap, CASE WHEN rooms IS NULL THEN 20.43 WHEN rooms <= 2 THEN 22.74 ELSE 19.73 END::DOUBLE AS reference, charges * 20 > area * 13.09::DOUBLE + greatest(1.0, area * 13.09::DOUBLE * 0.02::DOUBLE) AS over FROM lst""")
 def caps(t):
     c = F.col
     return t.lst.select("id", L.tenant_fee_cap(c("area")).alias("fee_cap"), L.deposit_cap(c("price"), c("furnished")).alias("deposit_cap"), L.reference_rent(c("rooms")).alias("reference"), L.over_cap(c("charges") * 20, c("area") * 13.09).alias("over"))
