@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.memory import give_back
+
 BLOCK = 1024
 #: Symbols of text handled at once by a worker; a longer text is handled alone.
 SLICE = 1_000_000
@@ -226,6 +228,7 @@ def _identify(batches: Iterable[pa.RecordBatch], model, key: str, alphabet: int)
             [batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(costs, pa.float64())],
             ["doc_id", "held_out", "lang_pred", "score", "bits_per_letter"],
         )
+    give_back()
 
 
 def identify(docs: DataFrame, sample: Sample | None = None) -> DataFrame:
@@ -254,5 +257,6 @@ def keep_identified(docs: DataFrame, most_bits: float = 10.0, sample: Sample | N
             for part in _slices(t.as_py() or "" for t in batch.column(at)):
                 mask += [lang != "und" and cost <= most_bits for lang, _, cost in parser.predict(part)]
             yield batch.filter(pa.array(mask, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(keep, schema)

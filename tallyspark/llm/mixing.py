@@ -13,6 +13,7 @@ own; ties in the order of documents are rows alike. Reruns agree: order, draws a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.memory import give_back
 from tallyspark.llm.prefix import running_total
 from tallyspark.session import stage
 
@@ -149,8 +151,6 @@ def taken(placed: DataFrame, slots: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def _copies(batches: Iterable[pa.RecordBatch], names: list[str], at: int, count: int | None) -> Iterator[pa.RecordBatch]:
-    import re
-
     words = re.compile(WORDS)
     for batch in batches:
         keep, texts = [], []
@@ -172,6 +172,7 @@ def _copies(batches: Iterable[pa.RecordBatch], names: list[str], at: int, count:
         if count is not None:
             cols[count] = pa.array([len(t) for t in texts], out.schema.field(count).type)
         yield pa.RecordBatch.from_arrays(cols, names)
+    give_back()
 
 
 def apply_mix(docs: DataFrame, plan: Plan | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
+from tallyspark.llm.memory import give_back
 from tallyspark.session import stage
 
 BLOCKS = 4
@@ -71,6 +72,7 @@ def _fingerprint(batches: Iterable[pa.RecordBatch], words: int, seed: int) -> It
     for batch in batches:
         found = fingerprints((x.as_py() for x in batch.column(1)), words, seed)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+    give_back()
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:

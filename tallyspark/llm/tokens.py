@@ -11,12 +11,10 @@ keep together in the order of their texts; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import simple8b
+from tallyspark.llm.memory import give_back
 from tallyspark.session import stage
 
 MAGIC = b"TS8B"
@@ -64,7 +63,7 @@ class Encoder:
         others = [b for b in range(256) if b not in set(printable)]
         #: The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
         self.table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ",."}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -72,14 +71,14 @@ class Encoder:
         """The ids of new words; a run of letters is one word of the tokenizer's pattern and goes to its model at once."""
         out: list[bytes] = [b""] * len(stems)
         rest = []
-        tokenize, table = self.tokenizer.model.tokenize, self.table
+        tokenize, table, as_bytes = self.tokenizer.model.tokenize, self.table, array
         for i, s in enumerate(stems):
             if (s[1:] if s[:1] == " " else s).isalpha():
-                out[i] = np.array([t.id for t in tokenize(s.encode().decode("latin-1").translate(table))], "<u4").tobytes()
+                out[i] = as_bytes("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(table))]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+            out[i] = as_bytes("I", e.ids).tobytes()
         return out
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -133,9 +132,9 @@ class Encoder:
             counts = counts + 1
         ids = self._ids(pieces)
         if end is not None:
-            ids.append(np.array([end], "<u4").tobytes())
+            ids.append(np.array([end], np.uint32).tobytes())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(sizes) - sizes
         each = sizes[where]
         total = int(each.sum())
@@ -225,18 +224,9 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, segment: int) -> Iterat
                     yield close()
     if docs:
         yield close()
-    encoder.new, encoder.old = {}, {}
     give_back()
 
 
-def give_back() -> None:
-    """Returns a finished task's memory to the system: Python workers stay, beside those of other tasks and stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim keeps its memory
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -246,6 +236,7 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = ends - lengths
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def write_shards(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
