@@ -53,6 +53,13 @@ class EntropyRule:
         return {"hex": self.hex_bits, "alnum": self.alnum_bits, "base64": self.base64_bits}[name]
 
 
+#: A path segment of words and numbers: letters with a few digits behind them, or digits with a letter before them at most.
+WORDS = r"(?:(?:[A-Za-z]{2,}[0-9]{0,4}|[A-Za-z]?[0-9]+|[A-Za-z])(?:[-_.=+]+|(?=/|\Z)))+"
+SEGMENT = re.compile(rf"[-_.=+]*{WORDS}\Z")
+#: A host name with a dot, as a URL's candidate begins after its colon, or without scheme.
+HOST = r"(?://)?(?:[A-Za-z0-9_-]+\.)+[a-z]{2,}(?=/|\Z)"
+URL = re.compile(HOST)
+
 #: Strings that are never reported by entropy alone: identifiers, numbers, host names, paths, file names, versions, words.
 ALLOWED = tuple(
     re.compile(p)
@@ -60,8 +67,8 @@ ALLOWED = tuple(
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z",
         r"[0-9.+/_=-]+\Z",
         r"[A-Za-z.+/_=-]+\Z",
-        r"(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/|\Z)",
-        r"(?:https?:)?/{1,2}[\w.-]+",
+        rf"{HOST}(?:/+{WORDS})*/*\Z",
+        rf"/{{1,2}}{WORDS}(?:/+{WORDS})*/*\Z",
         r"[\w.-]+\.(?:html?|json|xml|png|jpe?g|gif|svg|css|js|py|txt|pdf|zip|gz)\Z",
         r"v?[0-9]+(?:\.[0-9]+){1,3}[\w.-]*\Z",
         r"(?:[A-Za-z]+[0-9]{0,4}[-_./=+]+)+[A-Za-z]*[0-9]{0,4}\Z",
@@ -74,6 +81,17 @@ def allowed(text: str) -> bool:
     return len(set(text)) < 8 or any(p.match(text) for p in ALLOWED)
 
 
+def scored(text: str) -> list[tuple[int, int]]:
+    """The parts of a candidate that are scored: the long segments of a URL or path, each on its own, or else the whole.
+
+    A slash is also a letter of base64, so what has no host is a path only if most of its segments are words.
+    """
+    parts = [m.span() for m in re.finditer(r"[^/]+", text)]
+    if "/" in text and (URL.match(text) or text[0] == "/" and 2 * sum(bool(SEGMENT.match(text[a:b])) for a, b in parts) > len(parts)):
+        return [(a, b) for a, b in parts if b - a >= 20]
+    return [(0, len(text))]
+
+
 def window_entropies(text: str, rule: EntropyRule) -> dict[str, float]:
     """For each class that covers some whole window, the highest Shannon entropy (bits) of such a window.
 
@@ -123,9 +141,10 @@ def spans_of(text: str, rule: EntropyRule) -> list[tuple[int, int, str]]:
         out += [(*m.span(), 1) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         out += [(*m.span(), 2) for m in HEX.finditer(text, a, b)]
     base = sorted(out)
-    for a, b in runs:
-        if not any(s < b and a < e for s, e, _ in base) and is_secret(text[a:b], rule):
-            out.append((a, b, 3))
+    for lo, hi in runs:
+        for a, b in ((lo + x, lo + y) for x, y in scored(text[lo:hi])):
+            if not any(s < b and a < e for s, e, _ in base) and is_secret(text[a:b], rule):
+                out.append((a, b, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
 

@@ -66,6 +66,18 @@ def test_secret_entropy_is_incremental_and_suppressed():
         assert not secrets.is_secret(fine, rule), fine
 
 
+def test_secrets_behind_slashes():
+    rule, key = secrets.EntropyRule(), "q9XzL2vTn8Rk3WmPa7YbUe5J"
+    seen = lambda text: [text[a:b] for a, b, kind in secrets.spans_of(text, rule) if kind == "entropy"]
+    for whole in (f"/{key}", f"/{key}+w3", f"//{key}", f"/q9XzL2/{key}"):
+        assert seen(f"key {whole} end") == [whole]
+    for url in ("https://hooks.site.example/services/T00000000/B00000000/{}", "see hooks.site.example/in/{}/now", "https://Site.example/{}", "/services/hook/v1/{}"):
+        assert seen(url.format(key)) == [key], url
+    assert seen(f"https://a.example/{key}/{key[::-1]}") == [key, key[::-1]]
+    for fine in ("https://www.site.example/some/long/path/12/page-2024.html", "/usr/lib/x86_64-linux-gnu/libfoo.so.6", "www.site.example", "//cdn.site.example/images/photo_0001.jpg", "/a1" * 40 + "/", "/" + "a1-" * 4000 + "x9q"):
+        assert seen(fine) == [], fine[:60]
+
+
 def test_secrets_edge_rows(docs, empty):
     assert len(secrets.scan(docs).collect()) == docs.count()
     assert secrets.scan(empty).collect() == []
