@@ -151,12 +151,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, id_col:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+def keep_lowest(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component in ``near`` (doc_id, component_id): the one with the smallest doc_id.
 
     Rows that share that id are repeated rows, of which one stays. Rows whose component has no id stay.
     """
-    near = near_duplicates(docs, distance, words)
     gone = near.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
     twice = near.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twice")).count().where("count > 1").select("__twice")
@@ -165,3 +164,8 @@ def keep_one(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
         return kept
     once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
     return once.unionByName(kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"]))
+
+
+def keep_one(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
+    """``docs`` with one document of each component of near fingerprints."""
+    return keep_lowest(docs, near_duplicates(docs, distance, words))
