@@ -70,10 +70,10 @@ class Block:
         hi = np.stack([v.searchsorted(x + half) for v, x in zip(self.values, lines.T, strict=True)])
         return lo, hi
 
-    def candidates(self, lines: np.ndarray) -> Iterator[np.ndarray]:
-        """For each query's projections, the members that collide with them in enough directions."""
+    def candidates(self, lines: np.ndarray, least: int = 0) -> Iterator[np.ndarray]:
+        """For each query's projections, the members that collide with them in enough directions: ``least`` of them, or all of a smaller block."""
         n, index = len(self.vectors), self.index
-        need, enough = index.threshold * index.directions, index.share * n
+        need, enough = index.threshold * index.directions, min(n, max(least, index.share * n))
         levels: list[tuple[np.ndarray, np.ndarray]] = []
         for q in range(len(lines)):
             counts = np.zeros(n, np.int64)
@@ -100,7 +100,7 @@ class Block:
         out = []
         norms = np.linalg.norm(queries, axis=1)
         lines = (queries / norms[:, None]) @ self.lines[:-1]
-        for q, vector, found in zip(query_ids.tolist(), queries, self.candidates(lines), strict=True):
+        for q, vector, found in zip(query_ids.tolist(), queries, self.candidates(lines, k + 1), strict=True):
             scores = np.einsum("ij,j->i", self.vectors[found], vector)
             if len(found) > k + 1:
                 keep = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]

@@ -380,6 +380,15 @@ def test_few_candidates(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(u, u.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("n", [15, 40, 90])
+def test_small_blocks_give_all_neighbours(n):
+    v = np.random.default_rng(n).standard_normal((n, 64))
+    got = defaultdict(list)
+    for q, i, _ in ann.Block(np.arange(n), v, ann.Index()).nearest(np.arange(n), v, 20):
+        got[q].append(i)
+    assert all(len(got[q]) == min(20, n - 1) for q in range(n))
+
+
 # --- pages -------------------------------------------------------------------------------------------------------------
 
 
