@@ -11,10 +11,10 @@ keep together in the order of their texts; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,12 +32,16 @@ MAGIC = b"TS8B"
 HEAD = struct.Struct("<4sIQQQ")
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT = 1 << 18
-#: Words kept by a worker; beyond it, those not used since the last turn are dropped.
-CACHE = 200_000
-SLICE = 2_500_000
-#: A space that the tokenizer's word pattern always breaks before.
-BREAK = re.compile(r"(?<=\S) (?=\S)")
-UNSURE = re.compile(r"\s ")
+#: Words kept by a worker; beyond it, the third that was used longest ago is dropped.
+CACHE = 300_000
+#: Symbols of text encoded at once by a worker; a longer text is encoded alone.
+SLICE = 4_000_000
+#: White space of the tokenizer's word pattern, and two of it together, near which the pattern may break elsewhere.
+SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\pZ]"
+UNSURE = SPACE + "{2}"
+#: A space, or the start of a line's end, that the pattern always breaks before.
+BREAK = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n))")
+MARKS = ",."
 END = 0
 
 
@@ -48,99 +52,149 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct word of a slice once.
+    """Whole texts to ids with the tokenizers library, each distinct word once as long as it is kept.
 
     A byte-level pattern never joins what stands on both sides of a single space between two visible
-    characters, so a text is cut there and every piece, with its leading space, is encoded on its own.
+    characters, nor a visible character with a line's end behind it. A text is cut there, and every piece is encoded on its own, with
+    a space before it unless it begins with a line's end. The words and their ids are kept as Arrow and numpy arrays, without a Python object for each.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, keep: int = CACHE):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.keep = keep
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model.dropout = None
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(printable)]
-        #: The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
-        self.table = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32).tobytes() for c in ",."}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _miss(self, stems: list[str]) -> list[bytes]:
-        """The ids of new words; a run of letters is one word of the tokenizer's pattern and goes to its model at once."""
-        out: list[bytes] = [b""] * len(stems)
-        rest = []
-        tokenize, table, as_bytes = self.tokenizer.model.tokenize, self.table, array
-        for i, s in enumerate(stems):
-            if (s[1:] if s[:1] == " " else s).isalpha():
-                out[i] = as_bytes("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(table))]).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([stems[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = as_bytes("I", e.ids).tobytes()
-        return out
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as bytes; a comma or full stop behind letters is a word of its own."""
-        cut = [p[-1:] in self.marks and p[:-1].strip(" ").isalpha() for p in pieces]
-        stems = [p[:-1] if c else p for p, c in zip(pieces, cut, strict=True)]
-        out = [self.new.get(p) for p in stems]
-        missing: dict[str, list[int]] = {}
-        for i, x in enumerate(out):
-            if x is None:
-                p = stems[i]
-                if (x := self.old.get(p)) is None:
-                    missing.setdefault(p, []).append(i)
-                else:
-                    out[i] = self.new[p] = x
-        if missing:
-            for p, ids in zip(missing, self._miss(list(missing)), strict=True):
-                for i in missing[p]:
-                    out[i] = ids
-                if len(p) < 64:
-                    self.new[p] = ids
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        marks = self.marks
-        return [ids + marks[p[-1]] if c else ids for ids, p, c in zip(out, pieces, cut, strict=True)]
+        #: The same model for words of letters, which the pattern never splits: only cut at spaces.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: the byte-level alphabet has one letter for each byte.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self.marks = [self._alone([c]) for c in MARKS]
+        self.words = pa.array([], pa.large_string())
+        self.sizes, self.ids, self.used, self.turn = np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0, np.int32), 0
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many are of each piece) of pieces encoded one by one."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int32)
+
+    def _together(self, words: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are safe side by side: encoded in one text, whose ids are told apart by their bytes."""
+        texts = ["".join(words.slice(lo, 512).to_pylist()) for lo in range(0, len(words), 512)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        ends = np.cumsum(np.asarray(pc.binary_length(words), np.int64))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0).astype(np.int32)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Keeps new words; returns the place of each."""
+        ends = pc.starts_with(new, "\n")
+        whole = pc.if_else(ends, new, pc.binary_join_element_wise(pa.scalar(" ", new.type), new, pa.scalar("", new.type)))
+        letters = pc.match_substring_regex(new, r"^\pL+$")
+        odd = pc.match_substring_regex(whole, rf"^(?s:.+){SPACE}|^{SPACE}?$")  # with white space inside, or nothing else
+        rest = pc.invert(pc.or_(letters, odd))
+        order = np.concatenate([np.flatnonzero(np.asarray(kind)) for kind in (letters, rest, odd)])
+        places = np.empty(len(new), np.int32)
+        places[order] = np.arange(len(self.words), len(self.words) + len(new), dtype=np.int32)
+        parts = [self._together(whole.filter(letters), self.letters), self._together(whole.filter(rest), self.tokenizer), self._alone(whole.filter(odd).to_pylist())]
+        self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in parts)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in parts)])
+        self.used = np.concatenate([self.used, np.full(len(new), self.turn, np.int32)])
+        return places
+
+    def _forget(self) -> None:
+        """Drops the words that were used longest ago, beyond two thirds of those that may be kept."""
+        if len(self.words) <= self.keep:
+            return
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.keep * 2 // 3])
+        begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.ids = _gather(self.ids, begin[stay], self.sizes[stay])
+        self.words, self.sizes, self.used = self.words.take(pa.array(stay)), self.sizes[stay], self.used[stay]
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among those kept; new ones are learned."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            lost = pc.is_null(at)
+            missing = words.filter(lost).dictionary_encode()
+            rows = np.asarray(pc.fill_null(at, 0), np.int32).copy()
+            rows[np.asarray(lost)] = self._learn(missing.dictionary)[np.asarray(missing.indices)]
+        else:
+            rows = np.asarray(at, np.int32)
+        self.used[rows] = self.turn
+        return rows
+
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(words of all texts, words of each); every word had a space before it, but a text's first and those that begin with a line's end."""
+        whole = pa.array(texts, pa.large_string())
+        unsure = pc.match_substring_regex(whole, UNSURE)
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(unsure, "", whole), "\n", " \n"), " ")
+        words, counts = lists.flatten(), np.asarray(pc.list_value_length(lists), np.int64)
+        odd = np.flatnonzero(np.asarray(unsure))
+        if not len(odd):
+            return words, counts
+        parts, ends, lo = [], np.cumsum(counts), 0
+        for i in odd:
+            own = BREAK.split(texts[i])
+            parts += [words.slice(lo, ends[i] - 1 - lo), pa.array(own, pa.large_string())]
+            lo, counts[i] = ends[i], len(own)
+        return pa.concat_arrays([*parts, words.slice(lo)]), counts
 
     def encode(self, texts: list[str], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, ids of each text); ``end`` is appended to each text."""
-        sure = [not UNSURE.search(t) for t in texts]
-        lists = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, sure, strict=True)], pa.large_string()), " ")
-        words = lists.flatten()
-        counts = np.asarray(pc.list_value_length(lists), np.int64)
-        coded = words.dictionary_encode()
-        pieces = [" " + w for w in coded.dictionary.to_pylist()]
-        where = np.asarray(coded.indices, np.int64).copy()
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.turn += 1
+        words, counts = self._cut(texts)
         firsts = np.cumsum(counts) - counts
-        extra = [w[1:] for w in (pieces[i] for i in where[firsts])]
-        where[firsts] = len(pieces) + np.arange(len(firsts))
-        pieces += extra
-        for i, ok in enumerate(sure):
-            if not ok:  # rare: its pieces take the place of its one empty word
-                own = BREAK.split(texts[i])
-                pieces[where[firsts[i]]] = own[0]
-                at = len(pieces)
-                pieces += [" " + w for w in own[1:]]
-                where = np.insert(where, firsts[i] + 1, np.arange(at, len(pieces)))
-                counts[i] += len(own) - 1
-                firsts = np.cumsum(counts) - counts
+        heads = words.take(pa.array(firsts)).dictionary_encode()
+        # A comma or full stop behind letters is a word of its own.
+        marks = np.zeros(len(words), np.int8)
+        for k, c in enumerate(MARKS):
+            marks[np.asarray(pc.ends_with(words, c))] = k + 1
+        marks[firsts] = 0
+        if len(marked := np.flatnonzero(marks)):
+            good = np.asarray(pc.match_substring_regex(words.take(pa.array(marked)), rf"^\pL+[{MARKS}]$"))
+            marks[marked[~good]] = 0
+            words = pc.replace_with_mask(words, pa.array(marks > 0), pc.utf8_slice_codeunits(words.filter(pa.array(marks > 0)), 0, -1))
+        rows = self._rows(words)
+        del words
+        # One table for this slice: the kept words, first words, marks, the end.
+        own, each = self._alone(heads.dictionary.to_pylist())
+        tail = np.array([] if end is None else [end], np.uint32)
+        sizes = np.concatenate([self.sizes, each, *(n for _, n in self.marks), np.full(len(tail), 1, np.int32)])
+        table = np.concatenate([self.ids, own, *(ids for ids, _ in self.marks), tail])
+        rows = rows.copy()
+        rows[firsts] = len(self.sizes) + np.asarray(heads.indices, np.int32)
+        first_mark = len(self.sizes) + len(each)
+        where = np.flatnonzero(marks)
+        entries = first_mark + marks[where].astype(np.int32) - 1
+        shift = np.cumsum(marks > 0)[np.cumsum(counts) - 1]
+        rows = np.insert(rows, where + 1, entries)
+        ends = np.cumsum(counts) + shift
         if end is not None:
-            where = np.insert(where, np.cumsum(counts), len(pieces))
-            counts = counts + 1
-        ids = self._ids(pieces)
-        if end is not None:
-            ids.append(np.array([end], np.uint32).tobytes())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[where]
-        total = int(each.sum())
-        out = flat[np.repeat(begin[where] - (np.cumsum(each) - each), each) + np.arange(total)]
-        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
-        return out, np.diff(ends, prepend=0)
+            rows = np.insert(rows, ends, first_mark + len(MARKS))
+            ends = ends + np.arange(1, len(ends) + 1)
+        begin = np.cumsum(sizes, dtype=np.int64) - sizes
+        each = sizes[rows]
+        done = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        out = _gather(table, begin[rows], each)
+        self._forget()
+        return out, np.diff(done[ends], prepend=0)
+
+
+def _gather(table: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parts of ``table`` that begin at ``begin``, one after the other."""
+    done = np.cumsum(sizes, dtype=np.int64)
+    total = int(done[-1]) if len(done) else 0
+    at = np.repeat((begin - (done - sizes)).astype(np.int32), sizes)
+    at += np.arange(total, dtype=np.int32)
+    return table[at]
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -253,7 +307,7 @@ def read_shards(segments: DataFrame) -> DataFrame:
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row for each writing task
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = segments.select("shard", "start", "body").join(totals, "shard").select((F.col("start") + F.col("base")).alias("start"), "body")
+    placed = segments.select("shard", "start", "body").join(F.broadcast(totals), "shard").select((F.col("start") + F.col("base")).alias("start"), "body")
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
