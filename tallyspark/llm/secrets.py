@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -70,7 +71,7 @@ ALLOWED = tuple(
         rf"{HOST}(?:/+{WORDS})*/*\Z",
         rf"/{{1,2}}{WORDS}(?:/+{WORDS})*/*\Z",
         r"[\w.-]+\.(?:html?|json|xml|png|jpe?g|gif|svg|css|js|py|txt|pdf|zip|gz)\Z",
-        r"v?[0-9]+(?:\.[0-9]+){1,3}[\w.-]*\Z",
+        r"v?[0-9]+(?:\.[0-9]+){1,3}(?:[-_.]?(?:alpha|beta|rc|dev|post|final|build|snapshot|[a-z])[0-9]{0,8})*\Z",
         r"(?:[A-Za-z]+[0-9]{0,4}[-_./=+]+)+[A-Za-z]*[0-9]{0,4}\Z",
     )
 )
@@ -124,7 +125,7 @@ def window_entropies(text: str, rule: EntropyRule) -> dict[str, float]:
 
 
 def is_secret(text: str, rule: EntropyRule) -> bool:
-    """Whether a candidate is reported: not allow-listed, digits and letters mixed, and a window of enough entropy."""
+    """Whether a candidate is reported: not allow-listed (which strings of letters or digits alone are), and a window of enough entropy."""
     if allowed(text):
         return False
     return any(bits >= rule.bits(name) for name, bits in window_entropies(text, rule).items())
@@ -140,10 +141,18 @@ def spans_of(text: str, rule: EntropyRule) -> list[tuple[int, int, str]]:
     for a, b in runs:
         out += [(*m.span(), 1) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= 20]
         out += [(*m.span(), 2) for m in HEX.finditer(text, a, b)]
-    base = sorted(out)
+    starts: list[int] = []  # base spans, those that overlap joined: both lists ascend
+    ends: list[int] = []
+    for s, e, _ in sorted(out):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for lo, hi in runs:
         for a, b in ((lo + x, lo + y) for x, y in scored(text[lo:hi])):
-            if not any(s < b and a < e for s, e, _ in base) and is_secret(text[a:b], rule):
+            i = bisect_left(starts, b)  # the last span that starts before the end
+            if not (i and ends[i - 1] > a) and is_secret(text[a:b], rule):
                 out.append((a, b, 3))
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
