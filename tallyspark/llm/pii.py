@@ -138,7 +138,7 @@ def votes(rows: DataFrame) -> DataFrame:
         _vote(F.col("valid"), F.col("base") & ~F.col("valid")),
         _vote(known, ~known),
         _vote(shaped, ~shaped),
-        _vote((kind == "card") & F.col("luhn"), (kind == "card") & ~F.col("luhn")) if LABELERS > 3 else F.lit(-1),
+        _vote((kind == "card") & F.col("luhn"), (kind == "card") & ~F.col("luhn")),
         _vote(cued, around.rlike(AGAINST) | never),
     ))
 
@@ -182,16 +182,27 @@ def features(voted: DataFrame) -> DataFrame:
 def classify(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Adds ``score``, the trained classifier's probability, to the candidates ``rows``."""
     voted = features(votes(rows))
-    models = reliabilities(voted, rounds).agg(F.map_from_entries(F.collect_list(F.struct("kind", "model"))).alias("m"))
-    soft = voted.withColumn("model", F.get(F.array(models.scalar()), F.lit(0))[F.col("kind")]).withColumn("q", F.expr(_posterior("votes", "model"))).drop("model")
+    spark = rows.sparkSession
+    models = stage(spark, reliabilities(voted, rounds), "models")  # a row for each kind
+    soft = voted.join(F.broadcast(models), "kind").withColumn("q", F.expr(_posterior("votes", "model"))).drop("model")
     weights = soft.select("q", F.explode("features").alias("bucket")).groupBy("bucket").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no"))
-    sums = soft.agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).select(F.struct("yes", "no").alias("s"))
-    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("yes", "no")))).alias("w"))
+    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("yes", "no")))).alias("w"))  # a row of at most BUCKETS entries
+    sums = soft.agg(F.struct(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).alias("t"))
+    table, sums = stage(spark, table, "weights"), stage(spark, sums, "sums")
     scored = soft.withColumn("t", sums.scalar()).withColumn("w", table.scalar())
     odds = "aggregate(features, log((t.yes + 1) / (t.no + 1)), (o, f) -> o + log((w[f].yes + 1) / (t.yes + 2)) - log((w[f].no + 1) / (t.no + 2)))"
     return scored.withColumn("score", F.expr(f"1 / (1 + exp(-({odds})))")).drop("t", "w", "q", "votes", "features")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """``rows`` without added spans that overlap a base span of their kind: the last base end before and the next base start, along each document's spans."""
+    order = Window.partitionBy("row", "kind").orderBy("start", "end")
+    ended = F.max(F.when(F.col("valid"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.min(F.when(F.col("valid"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    marked = rows.withColumn("__hit", F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(begins < F.col("end"), F.lit(False)))
+    return marked.where(F.col("valid") | ~F.col("__hit")).drop("__hit")
+
+
 def _base_of(kind: str):
     return lambda x: x["base"] & (x["kind"] == kind)
 
@@ -203,13 +214,10 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """
     found = stage(docs.sparkSession, candidates(docs), "candidates")
     rows = stage(docs.sparkSession, spans(found), "spans")
-    scored = classify(rows).where(F.col("valid") | (~F.col("base") & (F.col("score") >= accept)))
+    scored = _apart(classify(rows).where(F.col("valid") | (~F.col("base") & (F.col("score") >= accept))))
     no = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     one = F.struct(F.col("start"), no.alias("no"), F.col("end"), F.col("kind"), F.col("valid").alias("base"))
     lists = scored.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    base = F.filter("all", lambda x: x["base"])
-    own = F.filter("all", lambda x: x["base"] | ~F.exists(base, lambda y: (y["kind"] == x["kind"]) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    lists = lists.select("row", own.alias("all"))
     name = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     hit = found.where("found is not null").select("row", "doc_id").join(lists, "row", "left")
     counted = hit.select(
