@@ -5,8 +5,9 @@ A bidirectional LSTM in numpy reads a page's blocks in order, each as a vector o
 block as main text or not, with the whole page as context. It is trained once a run, by a rule: ``teach`` writes pages of
 many layouts whose labels are known, from a fixed seed, and the weights go to the workers.
 
-Defined results: a null page is an empty one; pages without main text have an empty text; broken markup is read as
-browsers do, as far as open and close tags go; rows are independent, so ties, repeated rows and an empty table need nothing; other
+Defined results: a null page is an empty one; pages without main text have an empty text; in broken markup a closing tag without its opening
+one is ignored, inline tags close out of order, blocks that can't hold each other close, a slash closes void elements only, and a tag whose quote stays open
+is skipped up to its next bracket; rows are independent, so ties, repeated rows and an empty table need nothing; other
 columns are not read.
 """
 
@@ -16,6 +17,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed features of a block's path, its own words, and its measures.
-PATH_BUCKETS, WORD_BUCKETS, MEASURES = 96, 24, 8
+PATH_BUCKETS, WORD_BUCKETS, MEASURES = 256, 24, 8
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + MEASURES
 HIDDEN = 16
 #: Blocks that are stepped together in one batch.
@@ -36,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg canvas object select title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl li table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 pre blockquote hr address fieldset figure".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?[A-Za-z])[^>]*(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|itemprop|type)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 PIECES = re.compile(r"[a-z]+")
@@ -63,7 +65,7 @@ def _marks(attributes: str) -> tuple[str, ...]:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 out.append("hidden")
         elif name != "type":
-            out += [f"{name}.{w}" for w in PIECES.findall(value)][:12]
+            out += [f"{name}.{w}" for w in PIECES.findall(value)]
     return tuple(out)
 
 
@@ -71,6 +73,7 @@ def blocks(page: str) -> list[Piece]:
     """The page's blocks in order; character references decoded and white space made one space."""
     out: list[Piece] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # of the stack, by name
     parts: list[str] = []
     linked, tags = 0, set()
 
@@ -79,7 +82,7 @@ def blocks(page: str) -> list[Piece]:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                path = tuple(x for name, marks in stack for x in (name, *marks))
+                path = tuple(x for name, marks in stack for x in (marks if name in INLINE else (name, *marks)))
                 out.append(Piece(text, path, linked, tags))
         parts, linked, tags = [], 0, set()
 
@@ -89,7 +92,7 @@ def blocks(page: str) -> list[Piece]:
         at = m.end()
         if m[4] is not None:
             parts.append(m[4])
-            if any(name == "a" for name, _ in stack[-4:]):
+            if opened["a"]:
                 linked += len(m[4])
             continue
         if m[2] is None:
@@ -97,17 +100,19 @@ def blocks(page: str) -> list[Piece]:
         name = m[2].lower()
         if m[1]:
             if name in INLINE:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                    if stack[i][0] == name:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+                i = len(stack) - 1 if opened[name] else -1
+                while i >= 0 and stack[i][0] in INLINE and stack[i][0] != name:
+                    i -= 1
+                if i >= 0 and stack[i][0] == name:
+                    del stack[i]
+                    opened[name] -= 1
                 continue
             flush()
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -117,15 +122,17 @@ def blocks(page: str) -> list[Piece]:
             tags.add(name)
             if name not in VOID:
                 stack.append((name, _marks(m[3])))
+                opened[name] += 1
             continue
         flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID:
             continue
         while stack and (stack[-1][0] in INLINE or name in CLOSED_BY.get(stack[-1][0], ())):
             if stack[-1][0] in INLINE and not any(name in CLOSED_BY.get(n, ()) for n, _ in stack):
                 break
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         stack.append((name, _marks(m[3])))
+        opened[name] += 1
     flush()
     return out
 
@@ -137,9 +144,12 @@ def vectors(pieces: list[Piece]) -> np.ndarray:
     for row, p in zip(x, pieces, strict=True):
         for depth, name in enumerate(p.path):
             row[zlib.crc32(name.encode()) % PATH_BUCKETS] += 1.0 if depth else 0.5
+            if "." in name:  # the start of a mark tells its kin: comment, comments, commentary
+                row[zlib.crc32(name[: name.index(".") + 6].encode()) % PATH_BUCKETS] += 1.0
         words = p.text.split()
-        for w in words[:24]:
-            row[PATH_BUCKETS + zlib.crc32(w[:4].lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS] += 0.1
+        share = 0.1 * min(1.0, 24 / max(len(words), 1))  # long blocks weigh no more than short ones
+        for w in words:
+            row[PATH_BUCKETS + zlib.crc32(w[:4].lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS] += share
         k = PATH_BUCKETS + WORD_BUCKETS
         n = len(p.text)
         row[k : k + MEASURES] = (min(len(words), 60) / 60, min(p.linked / n, 1.0), n / total, min(len(p.path), 20) / 20, any(c in ".!?" for c in p.text), "©" in p.text, len(words) < 4, 1.0)
@@ -277,22 +287,26 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
 
     def nav(out: list) -> str:
         k = rng.randint(2, 8)
+        if rng.random() < 0.2:  # links side by side in one block
+            out.append(False)
+            return f"<div class='{word()}'>" + " ".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(k)) + "</div>"
         out += [False] * k
         items = "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k))
-        return rng.choice(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>', '<ul class="nav navbar">{}</ul>', '<div id="navigation" role="navigation"><ul>{}</ul></div>', '<div class="breadcrumb"><ol>{}</ol></div>']).format(items)
+        return rng.choice(["<nav><ul>{}</ul></nav>", f'<ul class="{word()}">{{}}</ul>', '<div class="menu"><ul>{}</ul></div>', '<ul class="nav navbar">{}</ul>', '<div id="navigation" role="navigation"><ul>{}</ul></div>', '<div class="breadcrumb"><ol>{}</ol></div>']).format(items)
 
     def noise(out: list, shapes: list[str], lo: int = 2, hi: int = 30) -> str:
         out.append(False)
         return rng.choice(shapes).format(words(lo, hi) + rng.choice(["", "."]))
 
     ad = ['<div class="ad">{}</div>', '<div class="advert banner"><p>{}</p></div>', '<div id="ads">{}</div>', '<aside class="sponsored promo"><p>{}</p></aside>', '<div class="advertisement">{}</div>']
-    foot = ["<footer>&copy; {}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">&copy; {}</div>', '<div id="footer"><p>{}</p></div>', "<footer>&copy; {} &middot; x.example.com</footer>"]
+    foot = ['<div class="legal">&copy; {}</div>', '<div class="copyright">{}</div>', "<footer>&copy; {}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">&copy; {}</div>', '<div id="footer"><p>{}</p></div>', "<footer>&copy; {} &middot; x.example.com</footer>"]
     head = ["<header>{}</header>", "<header><p>{}</p></header>", '<div class="header logo">{}</div>', '<div id="masthead"><p>{}</p></div>']
-    side = ["<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div id="sidebar"><h3>{}</h3></div>', '<div class="widget related"><p>{}</p></div>']
+    side = ['<div class="rail"><h3>{}</h3></div>', '<div class="read-more also"><p><a href="/x">{}</a></p></div>', '<div class="archive"><h3>{}</h3></div>', f'<div class="{word()}"><p><a href="/y">{{}}</a></p></div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div id="sidebar"><h3>{}</h3></div>', '<div class="widget related"><p>{}</p></div>']
     notice = ['<div class="cookie notice">{}</div>', '<div class="cookie-banner consent"><p>{}</p></div>', '<div role="alert" class="notice">{}</div>', '<div class="popup newsletter modal"><p>{}</p></div>', '<div class="disclaimer notice"><p>{}</p></div>']
     form = ["<form><p>{}</p></form>", "<form><label>{}</label><input></form>", '<form class="search">{}<button></button></form>', "<form><button>{}</button></form>"]
     reply = ['<div class="comment"><p>{}</p></div>', '<section class="comments"><p>{}</p></section>', '<ol id="comments" class="commentlist"><li>{}</li></ol>', '<div class="reader comments discussion"><p>{}</p></div>']
     hold = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main" class="post entry">', "</div>"), ('<section class="article body">', "</section>"), ('<div class="story text">', "</div>"), ("<body>", "")]
+    hold += [('<div class="{0}">', "</div>")] * 5 + [('<div id="{0}"><div class="{1}-{0}">', "</div></div>")] * 3  # names that tell nothing
     for _ in range(n):
         labels: list[bool] = []
         page = rng.choice(["<!DOCTYPE html>", ""]) + f'<html lang="{word()}"><head><title>{words(1, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
@@ -301,7 +315,7 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
                 page += part()
         if rng.random() < 0.97:
             opened, closed = rng.choice(hold)
-            page += opened
+            page += opened.format(word(), word())
             if rng.random() < 0.85:
                 labels.append(True)
                 page += f"<h1>{words(1, 12)}</h1>"
@@ -312,7 +326,7 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
                 if rng.random() < 0.03:
                     page += noise(labels, form + notice, 1, 12)
             page += closed
-        for part, chance in ((lambda: noise(labels, side), 0.3), (lambda: noise(labels, reply), 0.3), (lambda: noise(labels, reply), 0.2), (lambda: noise(labels, form, 1, 4), 0.15), (lambda: nav(labels), 0.15), (lambda: noise(labels, ad), 0.2), (lambda: noise(labels, notice), 0.1), (lambda: noise(labels, foot), 0.85)):
+        for part, chance in ((lambda: noise(labels, side), 0.3), (lambda: noise(labels, reply), 0.3), (lambda: noise(labels, reply), 0.2), (lambda: noise(labels, form, 1, 4), 0.15), (lambda: nav(labels), 0.3), (lambda: noise(labels, ad), 0.2), (lambda: noise(labels, notice), 0.1), (lambda: noise(labels, foot), 0.85)):
             if rng.random() < chance:
                 page += part()
         yield page + rng.choice(["</body></html>", ""]), labels
