@@ -4,7 +4,8 @@ For every language a suffix automaton of a bounded sample of labelled text answe
 occur in it. A text is parsed greedily into the longest phrases that occur; the fewer phrases a
 letter needs, each costing the bits that name a place in the sample, the likelier the language. Automata are laid out as
 one dense table whose entries also tell where a phrase ended, so that all blocks of many texts step together.
-Texts are parsed whole, in consecutive blocks of ``BLOCK`` symbols, each of which starts a new phrase.
+Texts are parsed whole; one of over ``BLOCK`` symbols in consecutive blocks, each of which starts a new phrase: at most one phrase more in some
+thousand, alike for all languages.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the smaller language;
 with no labelled row every text is ``und``; repeated rows change nothing but the sample; the sample is the rows with the
@@ -24,20 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.memory import give_back
+from tallyspark.llm.memory import give_back, held
 
-BLOCK = 1024
+BLOCK = 4096
 #: Symbols of text handled at once by a worker; a longer text is handled alone.
-SLICE = 1_000_000
+SLICE = 1_500_000
 
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of what is learned from: documents for each language, letters of each, and different letters kept apart."""
+    """Bounds of what is learned from: documents for each language, letters of each, and different letters that a language keeps apart.
 
-    documents: int = 120
-    letters: int = 256
-    alphabet: int = 44
+    A language's sample has at most documents * letters symbols; only a script of over ``alphabet`` letters takes some as one.
+    """
+
+    documents: int = 240
+    letters: int = 128
+    alphabet: int = 250
 
 
 def normalise(text: str) -> str:
@@ -81,51 +85,56 @@ class CrossParser:
 
     def __init__(self, texts: dict[str, str], alphabet: int):
         self.languages = sorted(texts)
-        letters = Counter(c for t in texts.values() for c in t if c != " ")
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:alphabet]]
-        code = {c: i + 1 for i, c in enumerate(known)}
-        self.other = len(known) + 1
-        self.size = self.other + 1
-        self.codes = self._code_table(code)
-        tables, self.bits, base = [], [], 0
-        for name in self.languages:
-            symbols = [0 if c == " " else code.get(c, self.other) for c in texts[name]]
-            table, n = self._table(suffix_automaton(symbols), base)
-            tables.append(table)
-            self.bits.append(math.log2(len(symbols) + 2))
-            base += n
+        known = sorted({c for t in texts.values() for c in t if c != " "})
+        #: Every letter's place among those of all samples: 0 for what is no letter, the last for a letter that no sample has.
+        self.places = self._place_table({c: i + 1 for i, c in enumerate(known)})
+        #: By language and place, the symbol of the letter in that language's automaton.
+        self.symbols = np.zeros((len(texts), len(known) + 2), np.uint8)
+        tables, self.bits, roots, base = [], [], [], 0
+        for k, name in enumerate(self.languages):
+            letters = Counter(c for c in texts[name] if c != " ")
+            code = {c: i + 1 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:alphabet])}
+            other = len(code) + 1
+            self.symbols[k] = [0, *(code.get(c, other) for c in known), other]
+            moves = suffix_automaton([0 if c == " " else code.get(c, other) for c in texts[name]])
+            tables.append(self._table(moves, base, other + 1))
+            roots.append(base)
+            self.bits.append(math.log2(len(texts[name]) + 2))
+            base += len(tables[-1])
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.roots = np.cumsum([0, *(len(t) for t in tables[:-1])])[:, None].astype(np.int32) if tables else None
+        self.roots = np.array(roots, np.int32)[:, None]
 
-    def _code_table(self, code: dict[str, int]) -> np.ndarray:
-        table = np.zeros(0x110000, np.uint8)
+    @staticmethod
+    def _place_table(place: dict[str, int]) -> np.ndarray:
+        table = np.zeros(0x110000, np.uint16)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
-                table[i] = code.get(c.lower()[0], self.other)
+                table[i] = place.get(c.lower()[0], len(place) + 1)
         return table
 
-    def _table(self, moves: list[dict[int, int]], base: int) -> tuple[np.ndarray, int]:
-        """Rows of twice the place of the next state's row, plus one where a phrase ends before the symbol.
+    @staticmethod
+    def _table(moves: list[dict[int, int]], base: int, a: int) -> np.ndarray:
+        """Rows of twice the place of the next state's row, plus one where a phrase ends before the symbol; ``a`` symbols a row.
 
         A symbol that the sample lacks is a phrase of its own: it leads to a last state, which every symbol leaves by a new phrase.
         """
-        a, lost = self.size, len(moves)
+        lost = len(moves)
         fresh = np.array([2 * (base + moves[0].get(c, lost) * a) + 1 for c in range(a)], np.int32)
         table = np.tile(fresh, (lost + 1, 1))
-        table[0] -= 1  # a block's first symbol ends nothing
+        table[0] -= 1  # a text's first symbol ends nothing
         for s, row in enumerate(moves):
             for c, to in row.items():
                 table[s, c] = 2 * (base + to * a)
-        return table.ravel(), (lost + 1) * a
+        return table.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by language and text, letters by text)."""
         n = len(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.codes[points]
-        owner = np.repeat(np.arange(n), lengths)
+        codes = self.places[points]
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
         keep = codes != 0
         letters = np.bincount(owner[keep], minlength=n)
         keep[1:] |= (codes[:-1] != 0) & (owner[1:] == owner[:-1])
@@ -142,9 +151,9 @@ class CrossParser:
         counts = np.ones((len(self.languages), len(of)), np.int32)
         state = np.repeat(self.roots, len(of), axis=1)
         active = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), side="left")
-        table = self.table
+        table, symbols = self.table, self.symbols
         for t, m in enumerate(active):
-            went = table[state[:, :m] + codes[begin[:m] + t]]
+            went = table[state[:, :m] + symbols[:, codes[begin[:m] + t]]]
             counts[:, :m] += went & 1
             state[:, :m] = went >> 1
         total = np.zeros((len(self.languages), n), np.int64)
@@ -180,8 +189,10 @@ def learn(docs: DataFrame, sample: Sample | None = None) -> dict[str, str]:
     ids = {(r["doc_id"], r["lang"]) for r in picked.select("doc_id", "lang").collect()}
     if not ids:
         return {}
-    # As few rows as the bound allows: a literal list, so that only the matching row groups' texts are read.
-    found = docs.where(F.col("doc_id").isin(sorted({i for i, _ in ids}))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, 4 * sample.letters).alias("text"))
+    # As few rows as the bound allows: a literal list, so that only the matching row groups' texts are read; repeated ids give one text a language.
+    letters = F.substring(F.trim(F.regexp_replace(F.col("text").cast("string"), r"[^\p{L}]+", " ")), 1, 2 * sample.letters)
+    found = docs.where(F.col("doc_id").isin(sorted({i for i, _ in ids}))).select("doc_id", F.col("lang").cast("string").alias("lang"), letters.alias("text"))
+    found = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     parts: dict[str, list[str]] = {}
     for r in sorted({(r["doc_id"], r["lang"], r["text"]) for r in found.collect() if r["text"] is not None and (r["doc_id"], r["lang"]) in ids}):
         if text := normalise(r[2])[: sample.letters]:
@@ -189,19 +200,13 @@ def learn(docs: DataFrame, sample: Sample | None = None) -> dict[str, str]:
     return {name: " ".join(texts) for name, texts in parts.items()}
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
 def _key(texts: dict[str, str]) -> str:
     return hashlib.sha256(repr(sorted(texts.items())).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _parser(key: str, texts: dict[str, str], alphabet: int) -> CrossParser:
     """One parser for each worker process and model, built where it is used."""
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(texts, alphabet)
-    return _parsers[key]
+    return held(("langid", key, alphabet), lambda: CrossParser(texts, alphabet))
 
 
 def _slices(texts: Iterable[str]) -> Iterator[list[str]]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import simple8b
 from tallyspark.llm.memory import give_back
+from tallyspark.llm.memory import held as held_model
 from tallyspark.session import stage
 
 MAGIC = b"TS8B"
@@ -221,15 +222,6 @@ def unpack(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(x) if ok else None for x, ok in zip(numbers, known, strict=True)], lengths, simple8b.decode(words, firsts, n)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
     ids: list[int | None] = []
     texts: list[str] = []
@@ -247,7 +239,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]
 
 
 def _write(batches: Iterable[pa.RecordBatch], path: str, segment: int) -> Iterator[pa.RecordBatch]:
-    encoder, shard, start = _encoder(path), TaskContext.get().partitionId(), 0
+    encoder, shard, start = held_model(("tokens", path), lambda: Encoder(path)), TaskContext.get().partitionId(), 0
     docs: list[int | None] = []
     sizes: list[np.ndarray] = []
     held: list[np.ndarray] = []
