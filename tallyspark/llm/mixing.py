@@ -1,8 +1,8 @@
 """Mixing sources to target weights (operator 4).
 
 The words of each source, its documents one after the other, are packed into blocks of fixed length. Output shards
-have a fixed number of slots; the counts of the sources in a shard are drawn from a multinomial over what each source still has
-to give, so the whole mix meets the targets to a block. The t-th slot of a source holds block p(t mod n) of
+have a fixed number of slots; the counts of the sources in the shards are multinomial draws under the condition that the whole mix meets the
+targets to a block, drawn by halving the shards again and again: any range of shards is drawn on its own, by whichever task needs it. The t-th slot of a source holds block p(t mod n) of
 its n blocks, p being a pseudorandom permutation of its own; slots and blocks join by (source, block).
 
 Defined results: null text has no words and isn't taken; null sources are one source, the last; documents without words
@@ -29,6 +29,8 @@ from tallyspark.session import stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Slots of a source that leave the drawing task as one row.
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -59,22 +61,41 @@ def targets(sizes: list[int], weights: list[float], repeats: int = 3) -> list[fl
     return out
 
 
-def draw(quotas: list[int], slots: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
-    """(shard, source, first slot of the source, count): multinomial counts for each shard from the quotas still open."""
-    rng = np.random.default_rng(seed)
-    left = np.array(quotas, np.int64)
-    given = np.zeros_like(left)
-    shard = 0
-    while (total := int(left.sum())) > 0:
-        want, got = min(slots, total), np.zeros_like(left)
-        while (short := want - int(got.sum())) > 0:
-            rest = left - got
-            got += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
-        for i in np.flatnonzero(got):
-            yield shard, int(i), int(given[i]), int(got[i])
-        given += got
-        left -= got
-        shard += 1
+def _share(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` slots drawn without replacement come from each source: a hypergeometric draw for each source from what is left."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, k in enumerate(counts.tolist()):
+        others = rest - k
+        if rest < 10**9:
+            got = int(rng.hypergeometric(k, others, n)) if n and k else 0
+        else:  # beyond the generator's range the normal limit
+            mean = n * (k / rest)
+            got = round(rng.normal(mean, math.sqrt(max(0.0, mean * (1 - k / rest) * (rest - n) / (rest - 1)))))
+        got = min(max(got, n - others, 0), n, k)
+        out[i], n, rest = got, n - got, others
+    return out
+
+
+def draw(quotas: list[int], slots: int, seed: int, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source, first slot of the source, count) for the shards from ``lo`` to ``hi``: multinomial counts, given that all quotas are met.
+
+    A range of shards is halved and its quotas are shared between the halves with a generator seeded by the range, so each range
+    gives the same draw in any task.
+    """
+    total = sum(quotas)
+    shards = -(-total // slots)
+    hi = shards if hi is None else min(hi, shards)
+    stack = [(0, shards, np.array(quotas, np.int64), np.zeros(len(quotas), np.int64))] if shards else []
+    while stack:
+        a, b, counts, given = stack.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            yield from ((a, int(i), int(given[i]), int(counts[i])) for i in np.flatnonzero(counts))
+            continue
+        middle = (a + b) // 2
+        left = _share(counts, (middle - a) * slots, np.random.default_rng([seed, a, b]))
+        stack += [(middle, b, counts - left, given + left), (a, middle, left, given)]
 
 
 def permute(x: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -125,7 +146,16 @@ def mix(docs: DataFrame, plan: Plan | None = None, weights: tuple[float, ...] =
     known = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
     placed = running_total(known, ["source_no"], ["doc_id", "digest"], F.col("size"), "offset")
     placed = stage(spark, placed, "placed")
-    drawn = spark.createDataFrame(list(draw(quotas, plan.slots, plan.seed)), "shard int, source_no int, first long, n long")
+    shards = -(-sum(quotas) // plan.slots)
+
+    def drawn_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()  # a range of shards
+            found = draw(quotas, plan.slots, plan.seed, ids[0], ids[-1] + 1) if ids else ()
+            rows = [(shard, i, first + k, min(RUN, n - k)) for shard, i, first, n in found for k in range(0, n, RUN)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["shard", "source_no", "first", "n"])
+
+    drawn = spark.range(shards).mapInArrow(drawn_in, "shard int, source_no int, first long, n long").repartition("shard", "source_no", "first")
     drawn = drawn.join(F.broadcast(table.select("source_no", "n_blocks")), "source_no")  # one row for each source
 
     @F.pandas_udf("long")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 PIECES = 1024
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, pieces: int = PIECES) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, deal: list[str] | None = None, pieces: int = PIECES) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``keys`` that come before this one.
 
-    Rows are ordered by (hash piece of the first order column, order columns): a fixed pseudorandom
-    order. A hot key is dealt over ``pieces`` tasks; only one row for each key and piece
+    Rows are ordered by (hash piece of the columns ``deal``, by default those of the order, order columns): a fixed pseudorandom
+    order; rows alike in ``deal`` keep together. A hot key is dealt over ``pieces`` tasks; only one row for each key and piece
     is summed along a key. Null keys and order values form groups and sort first like any other value.
     """
-    piece = F.pmod(F.xxhash64(F.col(order[0])), F.lit(pieces)).cast("int")
+    piece = F.pmod(F.xxhash64(*(deal or order)), F.lit(pieces)).cast("int")
     rows = df.withColumn("__piece", piece).withColumn("__value", value)
     nested = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000null")).alias(f"__k{i}") for i, k in enumerate(keys)]
     rows = rows.select("*", *nested)

@@ -3,8 +3,9 @@
 Documents start in the shard of their hash. Documents with equal texts are linked. The linked documents
 of a group in a shard form cells, small against a shard's quota; in every round a group's cells vote, and cells elsewhere
 ask to move to the shard with the most votes among those with room. Requests are
-granted in a fixed order while the quota lasts. Documents without links fill the quotas at the end, exactly. Groups are
-handled as aggregated cells, so neither a hot group nor its links ever meet in one task.
+granted in a fixed order while the quota lasts. Documents without links fill the quotas at the end, exactly. Groups move
+as aggregated cells. The size of a group of over a ``HEAVY``-th of all rows, of which there are fewer than ``HEAVY``, is broadcast to its documents, so no
+hot group meets in one task; links are pairs of equal texts and are never written out.
 
 Defined results: null text has no bytes, counts as equal to the empty text, and has crc32 0; null ids are placed like
 others; rows with the same id are rows of their own; ties go to the smaller shard; an empty table gives no rows; other columns
@@ -21,6 +22,8 @@ from tallyspark.session import stage
 
 #: Cells of a hot group in a shard are at most about this part of a quota.
 GRAIN = 64
+#: Groups over this part of all rows are heavy.
+HEAVY = 4096
 
 
 def _by_shard(values: dict[int, int], shard: Column) -> Column:
@@ -35,10 +38,12 @@ def _loads(df: DataFrame, value: Column, shards: int) -> dict[int, int]:
 
 
 def propagate(cells: DataFrame, quotas: dict[int, int], rounds: int = 8) -> DataFrame:
-    """``cells`` (grp, sub, home, n, shard) with shards moved towards the other cells of their group, within ``quotas``."""
+    """``cells`` (grp, sub, home, n, shard) with shards moved towards the other cells of their group, within ``quotas``.
+
+    It ends when nothing moves, or after ``rounds``: links that are still cut then stay cut.
+    """
     spark = cells.sparkSession
     cells = stage(spark, cells, "cells")
-    before = None
     for _ in range(rounds):
         loads = _loads(cells, F.col("n"), len(quotas))
         room = {s: max(0, quotas[s] - loads[s]) for s in quotas}
@@ -46,15 +51,14 @@ def propagate(cells: DataFrame, quotas: dict[int, int], rounds: int = 8) -> Data
         rank = F.struct((_by_shard(room, F.col("shard")) > 0).alias("open"), F.col("votes"), (-F.col("shard")).alias("low"))
         aims = votes.groupBy("grp").agg(F.max(rank).alias("best")).where("best.open").select("grp", (-F.col("best.low")).alias("aim"), F.col("best.votes").alias("aim_votes"))
         asked = cells.join(votes, ["grp", "shard"]).join(aims, "grp").where((F.col("aim") != F.col("shard")) & (F.col("aim_votes") >= F.col("votes")))
-        asked = running_total(asked.select("grp", "sub", "home", "n", "aim"), ["aim"], ["grp", "sub", "home"], F.col("n"), "ahead")
+        asked = running_total(asked.select("grp", "sub", "home", "n", "aim"), ["aim"], ["grp", "sub", "home"], F.col("n"), "ahead", ["grp"])
         moves = asked.where(F.col("ahead") + F.col("n") <= _by_shard(room, F.col("aim"))).select("grp", "sub", "home", "aim")
         cells = cells.join(moves, ["grp", "sub", "home"], "left").select("grp", "sub", "home", "n", F.coalesce("aim", "shard").alias("shard"), F.col("aim").isNotNull().alias("moved"))
         cells = stage(spark, cells, "cells")
         moved = cells.where("moved").agg(F.sum("n")).first()[0]
         cells = cells.drop("moved")
-        if not moved or moved == before == 0:
+        if not moved:
             break
-        before = moved
     return cells
 
 
@@ -98,7 +102,11 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
     quotas = {s: total // shards + (s < total % shards) for s in range(shards)}
     groups = rows.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     grain = max(1, total // shards // GRAIN)
-    linked = rows.join(groups, "grp", "left").withColumn("linked", F.col("members").isNotNull())
+    groups = stage(spark, groups, "groups")
+    heavy = F.broadcast(groups.where(F.col("members") > total / HEAVY))
+    hot = rows.join(heavy, "grp")
+    cold = rows.join(heavy.select("grp"), "grp", "left_anti").join(groups.where(F.col("members") <= total / HEAVY), "grp", "left")
+    linked = hot.unionByName(cold).withColumn("linked", F.col("members").isNotNull())
     linked = linked.withColumn("sub", F.when(F.col("linked"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("members") / F.lit(grain * shards)))).otherwise(F.lit(0)).cast("int")).drop("members")
     linked = stage(spark, linked, "linked")
     cells = linked.where("linked").groupBy("grp", "sub", "home").agg(F.count("*").alias("n")).withColumn("shard", F.col("home"))
