@@ -7,7 +7,7 @@ filled in the document; along one alignment a slot value must always be filled w
 count. A document is contaminated by an item if consistent alignments cover at least 0.8 of the item's windows.
 
 Defined results: null texts have no words; documents or items of fewer than five words have no window and match
-nothing; windows of placeholders alone say nothing and are left out; a window that an item repeats counts once; rows with the
+nothing, as a passage that short stands in any text; windows of placeholders alone say nothing and are left out; a window that an item repeats counts once; rows with the
 same doc_id are taken together, null ids too; empty tables give no rows; other columns are not read.
 """
 
@@ -20,8 +20,8 @@ from tallyspark.session import stage
 
 WINDOW = 5
 SHARE = 0.8
-#: Rows of benchmark windows up to which they are broadcast (40 bytes each); beyond it, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of benchmark windows, as measured, up to which they are broadcast; beyond it, the join shuffles.
+BROADCAST_BYTES = 64_000_000
 # Units that are recognised behind a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hours", "minutes", "days", "weeks", "months", "years", "miles", "meters", "metres", "feet", "inches", "dollars", "euros", "cents", "percent", "degrees")
 NUMBER, NAME, UNIT, QUANTITY = "0", "1", "2", "3"
@@ -62,13 +62,16 @@ def _slots(raw: str, typed: str, at: str) -> Column:
     return F.array(*[F.when(F.get(typed, F.col(at) + k).isin(NUMBER, NAME, UNIT, QUANTITY), F.get(raw, F.col(at) + k)) for k in range(WINDOW)])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Contaminated documents: doc_id, item_id, windows (of the item), matched, coverage."""
     items = _windows(benchmark, "item_id", True)
     items = items.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "h", _slots("raw", "typed", "at").alias("item_slots"))
     items = items.groupBy("item_id", "h").agg(F.min(F.struct("item_at", "item_slots")).alias("first")).select("item_id", "h", "first.*")
+    items = stage(docs.sparkSession, items, "items")  # read three times below
     sizes = items.groupBy("item_id").agg(F.count("*").alias("windows"))
-    small = items.count() <= broadcast_rows
+    # A row's numbers and its array's headers, and its words twice, as the JVM may keep them.
+    weight = F.sum(F.lit(120) + 2 * F.octet_length(F.concat_ws("", "item_slots")))
+    small = (items.agg(weight.cast("long").alias("bytes")).first()["bytes"] or 0) <= broadcast_bytes
     side = F.broadcast(items) if small else items
     found = _windows(docs, "doc_id", True)
     if not small:  # texts don't travel with windows: slots are cut out before the shuffle

@@ -277,7 +277,7 @@ def test_decontamination_catches_reparameterised_items(spark, docs, empty):
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()} == {(10, 1), (11, 1)}
-    assert {r["doc_id"] for r in decontaminate.matches(df, bench, broadcast_rows=0).collect()} == {10, 11}
+    assert {r["doc_id"] for r in decontaminate.matches(df, bench, broadcast_bytes=0).collect()} == {10, 11}
     assert {r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()} == {12, 13, 14, 15, 16}
     assert decontaminate.matches(docs, bench).collect() == [] and decontaminate.matches(empty, bench).collect() == [] and decontaminate.matches(df, bench.where("false")).collect() == []
 
@@ -359,7 +359,7 @@ def test_search_recall_and_ranks(spark):
     rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
     rows += [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, [None] + [1.0] * 23), (None, [1.0] * 24), (2080, [1.0, 2.0])]
     usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = ann.search(usable, usable.where("vec_id % 20 = 0"), 20, ann.Index(block=400, chunk=30)).collect()
+    got = ann.search(usable, usable.where("vec_id % 20 = 0"), 20, ann.Index(block=400)).collect()
     by = defaultdict(list)
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
         by[r["query_id"]].append(r)
