@@ -84,8 +84,9 @@ def travel_minutes(km: Column, mode: str) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Kilometres between two places; unknown where one is, as ``least`` would pass over it."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * 6371 * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def within(a: Column, b: Column, absolute: float, ratio: float) -> Column:

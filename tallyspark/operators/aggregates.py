@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from tallyspark.functions import listing as L
 from tallyspark.functions import text as T
+from tallyspark.session import stage
 
 
 def count_if(c: Column) -> Column:
@@ -21,19 +22,47 @@ def totals(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return rows.agg(*[count_if(c).alias(k) for k, c in conditions.items()])
 
 
+def _attach(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``few``, by keys of which some may be null."""
+    renamed = few.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in few.columns if c not in keys])
+    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]).drop(*[f"__k_{k}" for k in keys])
+
+
 def survival(rows: DataFrame, days: str = "days", ended: str = "ended", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Kaplan-Meier: for each day with an end (keys, day, at_risk, deaths, share).
+    """Kaplan-Meier: for each time with an end (keys, day, at_risk, deaths, share, horizon); the horizon is the longest life seen.
 
-    Lifetimes are first counted by day, so that the ordered part has a row for each day only; the product of shares is an ordered fold, in which a
-    share may become zero.
+    Lifetimes are counted by time first. Times are then sorted over ranges; each range gives one row of totals, along which the numbers at risk and the
+    shares are carried, so that neither fractions of days nor a long curve meet in one task.
     """
+    spark = rows.sparkSession
     fine = rows.where(F.col(days).isNotNull() & ~F.isnan(days) & (F.col(days) >= 0) & (F.col(days) < float("inf")))
     daily = fine.groupBy(*keys, F.col(days).alias("day")).agg(F.count("*").alias("n"), count_if(F.col(ended)).alias("deaths"))
-    rest = Window.partitionBy(*keys).orderBy(F.desc("day")) if keys else Window.partitionBy(F.lit(0)).orderBy(F.desc("day"))
-    risk = daily.withColumn("at_risk", F.sum("n").over(rest)).where("deaths > 0")
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = F.collect_list(1 - F.col("deaths") / F.col("at_risk")).over(w)
-    return risk.withColumn("share", F.aggregate(kept, F.lit(1.0), lambda a, x: a * x)).select(*keys, "day", "at_risk", "deaths", "share")
+    daily = stage(spark, daily.repartitionByRange("day").withColumn("__part", F.spark_partition_id()), "lives")
+    part = [*keys, "__part"]
+    after = Window.partitionBy(*keys).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = daily.groupBy(*part).agg(F.sum("n").alias("__n"), F.max("day").alias("__last"))
+    totals = totals.withColumn("__later", F.coalesce(F.sum("__n").over(after), F.lit(0))).withColumn("horizon", F.max("__last").over(Window.partitionBy(*keys))).drop("__n", "__last")
+    both = _attach(daily, totals, part)
+    rest = Window.partitionBy(*part).orderBy(F.desc("day"))
+    risk = both.withColumn("at_risk", F.sum("n").over(rest) + F.col("__later")).where("deaths > 0").withColumn("__kept", 1 - F.col("deaths") / F.col("at_risk"))
+    within = risk.withColumn("__share", F.product("__kept").over(Window.partitionBy(*part).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = risk.groupBy(*part).agg(F.product("__kept").alias("__all")).withColumn("__before", F.coalesce(F.product("__all").over(before), F.lit(1.0))).drop("__all")
+    out = _attach(within, carried, part)
+    return out.select(*keys, "day", "at_risk", "deaths", (F.col("__before") * F.col("__share")).alias("share"), "horizon")
+
+
+def share_alive(curve: DataFrame, at: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``at`` (keys, t) with ``share``: the curve's step at t; 1 before its first end, null past its horizon or without a curve.
+
+    A key's curve becomes one sorted array of its ends, which each t searches; times asked for are few, as those of a report.
+    """
+    steps = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "share"))).alias("__steps"), F.max("horizon").alias("__horizon"))
+    both = at.join(steps, list(keys), "left") if keys else at.join(F.broadcast(steps))  # one row
+    last = F.element_at(F.filter("__steps", lambda s: s["day"] <= F.col("t")), -1)["share"]
+    known = F.col("__steps").isNotNull() & (F.col("t") <= F.col("__horizon"))
+    reached = F.exists("__steps", lambda s: s["day"] <= F.col("t"))
+    return both.withColumn("share", F.when(known & reached, last).when(known, F.lit(1.0))).drop("__steps", "__horizon")
 
 
 def median_survival(curve: DataFrame) -> DataFrame:
@@ -59,10 +88,16 @@ def spellings(rows: DataFrame, name: str = "agency") -> DataFrame:
 
 
 def agencies(rows: DataFrame) -> DataFrame:
-    """Agencies: name, listings, sources as a sorted list, last sight."""
-    named = rows.where(F.col("agency").isNotNull()).withColumn("key", T.agency_key(F.col("agency")))
-    sums = named.groupBy("key").agg(F.count_distinct("group_id").alias("listings"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"), F.max("last_seen").alias("last_seen"))
-    return sums.join(spellings(rows), "key").select("key", "name", "listings", "sources", "last_seen")
+    """Agencies: name, listings, sources as a sorted list, last sight.
+
+    Rows are read and combined once by key, spelling and listing; both roll-ups start from that exchange.
+    """
+    named = rows.where(F.col("agency").isNotNull()).select(T.agency_key(F.col("agency")).alias("key"), "agency", "group_id", "source_id", "last_seen")
+    per = named.groupBy("key", "agency", "group_id").agg(F.count("*").alias("n"), F.collect_set("source_id").alias("s"), F.max("last_seen").alias("last_seen"))
+    upper = F.when(F.col("agency") == F.upper("agency"), 1).otherwise(0)
+    names = per.groupBy("key", "agency").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min_by("agency", F.struct(-F.col("n"), upper, F.col("agency"))).alias("name"))
+    sums = per.groupBy("key").agg(F.count_distinct("group_id").alias("listings"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ",").alias("sources"), F.max("last_seen").alias("last_seen"))
+    return sums.join(names, "key").select("key", "name", "listings", "sources", "last_seen")
 
 
 def histogram(rows: DataFrame, column: str, low: int, high: int, step: int) -> DataFrame:
@@ -192,6 +227,47 @@ def signature(columns: dict[str, DataFrame], text: str) -> DataFrame:
     return first.sparkSession.range(1).select(F.substring(F.sha2(F.concat_ws("|", *parts, F.lit(text)), 256), 1, 32).alias("etag"))
 
 
+def faded_fields(observed: DataFrame, least_older: int = 10, least_recent: int = 5, usual: float = 0.8) -> DataFrame:
+    """Fields that a source used to fill and no longer does. ``observed``: source_id, field, older, older_filled, recent, recent_filled."""
+    told = (F.col("older") >= least_older) & (F.col("recent") >= least_recent)
+    return observed.where(told & (F.col("older_filled") / F.col("older") >= usual) & (F.col("recent_filled") == 0)).select("source_id", "field", L.half_up(F.col("older_filled") / F.col("older") * 100).cast("int").alias("before_pct"))
+
+
+def field_fill(rows: DataFrame, fields: list[str], since: Column) -> DataFrame:
+    """source_id, field, older, older_filled, recent, recent_filled: how often fields were known before and from ``since``; one row a field."""
+    recent = F.col("first_seen") >= since
+    counts = [c for f in fields for c in (count_if(~recent & F.col(f).isNotNull()).alias(f"{f}_o"), count_if(recent & F.col(f).isNotNull()).alias(f"{f}_r"))]
+    out = rows.groupBy("source_id").agg(count_if(~recent).alias("older"), count_if(recent).alias("recent"), *counts)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_o").alias("older_filled"), F.col(f"{f}_r").alias("recent_filled")) for f in fields])
+    return out.select("source_id", "older", "recent", F.inline(each)).select("source_id", "field", "older", "older_filled", "recent", "recent_filled")
+
+
+def active_stock(rows: DataFrame) -> DataFrame:
+    """(source_id, active): living occurrences of each source."""
+    return rows.groupBy("source_id").agg(count_if(F.col("lifecycle") == "active").alias("active"))
+
+
+def agency_detail(listings: DataFrame, occurrences: DataFrame, name: str, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(listings of the agency, latest first, at most 200; its contacts: the largest known telephone and address of mail)."""
+    own = occurrences.where(T.agency_key(F.col("agency")) == T.agency_key(F.lit(name)))
+    rows = listings.join(own.select(F.col("group_id").alias("id")).distinct(), "id", "left_semi").orderBy(F.desc("last_seen"), "id").limit(most)
+    return rows, own.agg(F.max("phone").alias("phone"), F.max("email").alias("email"))
+
+
+def alerts_per_token(rows: DataFrame) -> DataFrame:
+    """(token, n): relayed advertisements for each recipient's token in a batch."""
+    return rows.where(F.col("token").isNotNull()).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def budget_report(runs: DataFrame, found: DataFrame, since: Column, cycles: int, most: int) -> DataFrame:
+    """Spend, cadence and served share of each source's runs since a moment."""
+    recent = runs.where(F.col("started_at") >= since)
+    spent, paced = spend(recent, found), cadence(recent)
+    out = spent.join(paced, "source_id", "left")
+    demand = out.agg(F.sum(F.when(F.col("median_gap_s") > 0, 86_400 / F.col("median_gap_s"))).alias("demand"))
+    return out.withColumn("served", F.least(F.lit(1.0), cycles * most / demand.scalar()))
+
+
 def trailing(rows: DataFrame, key: str, at: str, seconds: int) -> Column:
     """Rows of the key in the seconds before this one, itself included."""
     return F.count("*").over(Window.partitionBy(key).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, 0))

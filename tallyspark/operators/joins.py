@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -54,16 +56,40 @@ def in_range(left: DataFrame, right: DataFrame, a: str, b: str, absolute: float,
 
 
 def near(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """Pairs of (id, lat, lon) and (id2, lat2, lon2) at most ``km`` apart: an equi-join on a grid with the neighbouring cells."""
-    deg = km / 111.0
-    cell = lambda x, scale: F.floor(x / (deg * scale))
-    # Cells of longitude are wide enough up to 60 degrees of latitude.
-    l = left.withColumn("__y", cell(F.col("lat"), 1.01)).withColumn("__x", cell(F.col("lon"), 2.02))
-    r = right.withColumn("__y", F.explode(F.sequence(cell(F.col("lat2"), 1.01) - 1, cell(F.col("lat2"), 1.01) + 1)))
-    r = r.withColumn("__x", F.explode(F.sequence(cell(F.col("lon2"), 2.02) - 1, cell(F.col("lon2"), 2.02) + 1)))
+    """Pairs of (id, lat, lon) and (id2, lat2, lon2) at most ``km`` apart: an equi-join on a grid with the neighbouring cells.
+
+    Bands of latitude are a little higher than ``km``. Each band has its own cells of longitude, wide enough at the highest latitude that
+    a pair with one end in it can reach, and closed around the globe; near a pole a band is one cell. A row on the right enters
+    the cells of three bands, so every pair meets exactly once.
+    """
+    size = math.degrees(km / 6371) * 1.01
+    band = lambda lat: F.floor(lat / size)
+    top = lambda b: F.greatest(F.abs(b * size), F.abs((b + 1) * size)) + size
+    reach = lambda b: F.lit(math.sin(km / 2 / 6371)) / F.cos(F.radians(top(b)))
+    wide = lambda b: F.when((top(b) >= 90) | (reach(b) >= 1), F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(F.abs(reach(b)), F.lit(1.0)))) * 1.01)
+    cells = lambda b: F.greatest(F.floor(360 / wide(b)), F.lit(1))
+    cell = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) * n / 360), n - 1)
+    l = left.withColumn("__y", band(F.col("lat"))).withColumn("__x", cell(F.col("lon"), cells(F.col("__y"))))
+    r = right.withColumn("__y", F.explode(F.sequence(band(F.col("lat2")) - 1, band(F.col("lat2")) + 1))).withColumn("__n", cells(F.col("__y")))
+    around = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(cell(F.col("lon2"), F.col("__n")) + d, F.col("__n")))
+    r = r.withColumn("__x", F.explode(F.array_distinct(around))).drop("__n")
     return l.join(r, ["__y", "__x"]).drop("__y", "__x").withColumn("km", L.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).where(F.col("km") <= km)
 
 
+def one_edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: int = 6) -> DataFrame:
+    """Pairs whose words, of ``least`` letters or more, are at most one edit apart: an equi-join on the words with one letter left out, or none.
+
+    Two words one edit apart always share such a form; a word has one for each of its letters, so nothing grows with the number of words.
+    """
+    def forms(c: str) -> Column:
+        x = F.col(c)
+        cut = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        return F.explode(F.array_distinct(F.concat(F.array(x), cut)))
+
+    l, r = (df.where(F.length(c) >= least).withColumn("__form", forms(c)) for df, c in ((left, a), (right, b)))
+    return l.join(r, "__form").where(F.levenshtein(F.col(a), F.col(b)) <= 1).drop("__form").distinct()
+
+
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd ray test of a point against a closed ring."""
     crossings = F.lit(0)

@@ -17,11 +17,15 @@ def name_tokens(x: Column) -> Column:
     return F.filter(F.split(T.fold(x), " "), lambda w: (F.length(w) >= 3) & ~w.isin(*COMMON))
 
 
-def substrings(key: Column, least: int = CONTAINED, most: int = 40) -> Column:
-    """All different parts of a key from ``least`` to ``most`` characters; names are short."""
-    n = F.least(F.length(key), F.lit(most))
-    spans = F.transform(F.sequence(F.lit(least), F.greatest(n, F.lit(least))), lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - size + 1, F.lit(1))), lambda at: F.substring(key, at, size)))
-    return F.when(F.length(key) >= least, F.array_distinct(F.filter(F.flatten(spans), lambda s: F.length(s) >= least))).otherwise(F.array().cast("array<string>"))
+def lengths_of(keys: DataFrame, least: int = CONTAINED) -> list[int]:
+    """The different lengths, from ``least`` on, of keys: as many as a name has letters at most, however many names there are."""
+    return sorted(r["n"] for r in keys.select(F.length("key").alias("n")).where(F.col("n") >= least).distinct().collect())
+
+
+def substrings(key: Column, lengths: list[int]) -> Column:
+    """All different parts of a key that are as long as some known key is."""
+    parts = lambda n: F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda at: F.substring(key, at, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[parts(n) for n in lengths])))) if lengths else F.array().cast("array<string>")
 
 
 def resolve(names: DataFrame, handles: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def resolve(names: DataFrame, handles: DataFrame) -> DataFrame:
     rows = names.select("name").distinct()
     only = lambda df, out: df.groupBy("name").agg(F.collect_set("source_id").alias("s")).where("size(s) = 1").select("name", F.get("s", F.lit(0)).alias(out))
     exact = only(rows.withColumn("key", T.agency_key(F.col("name"))).join(keys, "key"), "s1")
-    held = only(rows.withColumn("key", F.explode(substrings(T.agency_key(F.col("name"))))).join(keys, "key"), "s2")
+    held = only(rows.withColumn("key", F.explode(substrings(T.agency_key(F.col("name")), lengths_of(keys)))).join(keys, "key"), "s2")
     word = only(rows.withColumn("word", F.explode(name_tokens(F.col("name")))).join(words, "word"), "s3")
     return rows.join(exact, "name", "left").join(held, "name", "left").join(word, "name", "left").select("name", F.coalesce("s1", "s2", "s3").alias("source_id"))
 
@@ -43,14 +47,27 @@ def group(names: DataFrame) -> DataFrame:
     """(name, grp): names by key; the shortest key of eight characters or more that a key contains takes it in, one level deep."""
     keyed = names.select("name", T.agency_key(F.col("name")).alias("key")).distinct()
     keys = keyed.select("key").distinct()
-    parts = keys.withColumn("part", F.explode(substrings(F.col("key"))))
+    parts = keys.withColumn("part", F.explode(substrings(F.col("key"), lengths_of(keys))))
     into = parts.join(keys.select(F.col("key").alias("part")), "part").groupBy("key").agg(F.min_by("part", F.struct(F.length("part"), F.col("part"))).alias("grp"))
     return keyed.join(into, "key", "left").select("name", F.coalesce("grp", "key").alias("grp"))
 
 
-def uncovered(names: DataFrame, known: DataFrame) -> DataFrame:
-    """Groups of which no name has a known key or a token of a known name; names without tokens count as known. ``known`` is (title)."""
+def uncovered(names: DataFrame, known: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """Groups of names that no known source covers; ``known`` is (title), ``ignored`` (name): names that are left out on purpose.
+
+    A name is covered by a known key that equals it, lies in it or that it lies in (eight letters or more), by a word of a known title, or by having no telling
+    word at all.
+    """
+    titles = known.select(T.agency_key(F.col("title")).alias("key")).where("key <> ''").distinct()
     tokens = known.select(F.explode(name_tokens(F.col("title"))).alias("token")).distinct()
-    rows = group(names).withColumn("tokens", name_tokens(F.col("name")))
-    hit = rows.where("size(tokens) = 0").select("grp").union(rows.select("grp", F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").select("grp"))
+    rows = group(names).withColumn("tokens", name_tokens(F.col("name"))).withColumn("key", T.agency_key(F.col("name")))
+    keys = rows.select("key").distinct()
+    inside = rows.select("grp", F.explode(substrings(F.col("key"), lengths_of(titles))).alias("key")).join(titles, "key", "left_semi").select("grp")
+    around = titles.select(F.explode(substrings(F.col("key"), lengths_of(keys))).alias("key")).distinct()
+    hits = [rows.where("size(tokens) = 0").select("grp"), rows.select("grp", F.explode("tokens").alias("token")).join(tokens, "token", "left_semi").select("grp"), rows.join(titles, "key", "left_semi").select("grp"), inside, rows.join(around, "key", "left_semi").select("grp")]
+    if ignored is not None:
+        hits.append(rows.join(ignored.select(T.agency_key(F.col("name")).alias("key")).distinct(), "key", "left_semi").select("grp"))
+    hit = hits[0]
+    for more in hits[1:]:
+        hit = hit.unionByName(more)
     return rows.select("grp").distinct().join(hit, "grp", "left_anti")

@@ -11,14 +11,19 @@ from tallyspark.operators import aggregates as A
 from tallyspark.operators import filters as P
 from tallyspark.operators import joins as J
 
-READ_ONLY = re.compile(r"^\s*select\s", re.I)
+READ_ONLY = re.compile(r"^\s*(?:select|with)\s", re.I)
+#: Strings, quoted names and comments, in which nothing is a statement's end.
+QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: What a WITH may lead to besides a SELECT.
+WRITES = re.compile(r"\b(?:insert|update|delete|merge|drop|alter|create|truncate|replace\s+table)\b", re.I)
 
 
 def read_only_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
-    """One SELECT over given tables; anything else is refused."""
-    if not READ_ONLY.match(text) or ";" in text:
+    """One SELECT, also behind WITH, over given tables; anything else is refused."""
+    bare = QUOTED.sub(" ", text).strip().removesuffix(";")
+    if not READ_ONLY.match(bare) or ";" in bare or (bare[:4].lower() == "with" and WRITES.search(bare)):
         raise ValueError("only one SELECT statement is allowed")
-    return spark.sql(text, **tables)
+    return spark.sql(text.strip().removesuffix(";"), **tables)
 
 
 class Engine:
@@ -34,8 +39,9 @@ class Engine:
             return P.page(rows, "recent" if sort in ("priority", "closest") else sort, limit, offset)
         return P.page(J.overlay(rows, self.state, self.scores, user), sort, limit, offset)
 
-    def listing_ids(self, traits: P.Traits | None = None) -> DataFrame:
-        return self.listings(None, traits, limit=500).select("id")
+    def listing_ids(self, traits: P.Traits | None = None, limit: int = 500) -> DataFrame:
+        """A page of ids, 500 unless said otherwise."""
+        return self.listings(None, traits, limit=limit).select("id")
 
     def listing(self, listing_id: int) -> DataFrame:
         return self.all_listings.where(F.col("id") == listing_id)

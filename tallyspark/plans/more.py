@@ -22,10 +22,10 @@ def pick(column, *texts):
     return F.get(F.array(*[F.lit(x) for x in texts]), F.col(column).cast("int") % len(texts))
 
 
-@R.add("d26_resolve_agencies", "SELECT concat('Agence Soleil ', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN ' Nice Centre' ELSE '' END) AS name, CASE WHEN s_suppkey % 2 = 0 THEN concat('s', s_suppkey) END AS source_id FROM supplier WHERE s_suppkey BETWEEN 10 AND 99")
+@R.add("d26_resolve_agencies", "SELECT concat('Agence Soleil ', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN ' Nice Centre' ELSE '' END) AS name, CASE WHEN s_suppkey % 2 = 0 THEN concat('s', s_suppkey) END AS source_id FROM (SELECT 100000 + s_suppkey AS s_suppkey FROM supplier)")
 def resolve(t):
     k = s("s_suppkey")
-    rows = t.supplier.where("s_suppkey between 10 and 99").select("s_suppkey", F.concat(F.lit("Agence Soleil "), k, F.when(F.col("s_suppkey") % 3 == 0, " Nice Centre").otherwise("")).alias("name"))
+    rows = t.supplier.select((F.col("s_suppkey") + 100_000).alias("s_suppkey")).select("s_suppkey", F.concat(F.lit("Agence Soleil "), k, F.when(F.col("s_suppkey") % 3 == 0, " Nice Centre").otherwise("")).alias("name"))
     handles = rows.where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), k).alias("source_id"), F.concat(F.lit("agence SOLEIL "), k).alias("title"))
     # The word soleil is everyone's, so it tells no one apart.
     return N.resolve(rows, handles)
@@ -61,10 +61,10 @@ def replies(t):
     return X.match_replies(mails, lst)
 
 
-@R.add("d33_contact_fill", "SELECT id, coalesce(phone, CASE WHEN source_id = 's1' THEN '+33400000000' END) AS phone FROM (SELECT DISTINCT id, source_id, phone FROM occ WHERE source_id IN ('s1', 's2'))")
+@R.add("d33_contact_fill", "SELECT id, coalesce(phone, CASE WHEN source_id = 's1' THEN '+33400000000' END) AS phone FROM (SELECT DISTINCT id, source_id, phone FROM occ)")
 def contact_fill(t):
     src = t.spark.createDataFrame([("s1", "+33400000000", None)], "source_id string, phone string, email string")
-    return X.fill_contacts(t.occ.where("source_id in ('s1', 's2')").select("id", "source_id", "phone", "email").distinct(), src).select("id", "phone")
+    return X.fill_contacts(t.occ.select("id", "source_id", "phone", "email").distinct(), src).select("id", "phone")
 
 
 @R.add("d34_best_place", "SELECT p_partkey AS id, concat(p_partkey, ' number') AS place FROM part WHERE p_size >= 10")

@@ -35,6 +35,13 @@ SELECT concat_ws(':', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
   CAST({H} % 5 AS INT) AS missing_runs, CASE WHEN {H} % 2 = 0 THEN l_orderkey % 400 END AS views, CASE WHEN {H} % 3 = 0 THEN l_orderkey % 12 END AS favorites,
   CASE WHEN {H} % 10 = 0 THEN NULL ELSE 43.6 + (l_partkey % 200) / 1000.0E0 END AS lat, CASE WHEN {H} % 10 = 0 THEN NULL ELSE 7.1 + (l_partkey * 7 % 300) / 1000.0E0 END AS lon,
   concat('agency ', CAST(l_suppkey % 40 AS STRING)) AS agency,
+  CASE WHEN {H} % 13 = 0 THEN concat('REF', CAST(10000 + l_partkey AS STRING)) END AS reference,
+  CASE WHEN {H} % 17 < 3 THEN NULL ELSE concat(p_name, ' ', lower(p_type), ' terrace', CAST(l_partkey % 60 AS STRING), CASE WHEN {H} % 2 = 0 THEN ' studio meuble' ELSE ' balcon' END, CASE WHEN {H} % 17 = 5 THEN ' vue mer...' ELSE '' END) END AS title,
+  CASE {H} % 3 WHEN 0 THEN NULL WHEN 1 THEN 'short text' ELSE concat('the ', p_name, ' of ', p_brand, ' near place', CAST(l_partkey % 90 AS STRING), ' with garden terrace cellar parking lift, bright rooms, quiet street',
+    CASE WHEN {H} % 7 = 0 THEN concat(' ref AB', CAST(10000 + l_partkey AS STRING)) ELSE ' close to trams' END) END AS description,
+  CASE {H} % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('rue ', p_name) WHEN 2 THEN concat(CAST(1 + l_partkey % 90 AS STRING), ' bis rue ', p_name) ELSE concat(CAST(1 + l_partkey % 90 AS STRING), ' rue ', p_name) END AS address,
+  CASE WHEN {H} % 3 = 1 THEN concat('quarter', CAST(l_partkey % 7 AS STRING)) WHEN {H} % 12 = 0 THEN concat('terrace', CAST(l_partkey % 60 AS STRING)) END AS district,
+  CASE WHEN {H} % 4 = 0 THEN split(concat('https://img.example/', CAST(l_partkey % 700 AS STRING), '/front.jpg?s=', CAST(l_orderkey AS STRING), ',https://img.example/', CAST(l_partkey AS STRING), '/photo', lpad(CAST(l_partkey * 7 AS STRING), 12, '0'), '.jpg'), ',') END AS image_urls,
   concat('https://www.site', CAST(l_suppkey % 9 AS STRING), '.example/Ad/', CAST(l_partkey AS STRING), '?utm_source=x&b=', CAST(l_linenumber AS STRING), '&a=1') AS url
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
 LST = """
@@ -50,10 +57,11 @@ SELECT group_id AS id, min(price) AS price, max(charges) AS charges, min(CAST(ch
   concat('{"id":', CAST(group_id AS STRING), ',"applicationStatus":', CASE WHEN group_id % 11 = 0 THEN '"full"' WHEN group_id % 11 = 1 THEN '"open"' ELSE 'null' END, ',"imageUrls":["a","b"],"description":"x"}') AS payload
 FROM occ WHERE group_id IS NOT NULL GROUP BY group_id"""
 STATE = """
-SELECT concat('u', CAST(c_custkey % 5 AS STRING)) AS user_id, p_partkey AS listing_id, max(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS favorite, min(CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) AS archived,
+SELECT concat('u', CAST(u AS STRING)) AS user_id, p_partkey AS listing_id, CASE WHEN p_partkey % 8 = 0 THEN favorite ELSE 0 END AS favorite, CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE archived END AS archived,
   CASE WHEN p_partkey % 5 = 0 THEN 'toContact' WHEN p_partkey % 5 = 1 THEN 'contacted' WHEN p_partkey % 5 = 2 THEN 'visited' ELSE 'new' END AS tracking,
   CASE WHEN p_partkey % 4 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' END AS notified_at
-FROM customer JOIN part ON c_custkey % 50 = p_partkey % 50 WHERE p_partkey % 3 <> 1 AND c_custkey <= 150 GROUP BY c_custkey % 5, p_partkey"""
+FROM (SELECT c_custkey % 5 AS u, c_custkey % 50 AS k, max(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS favorite, min(CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END) AS archived FROM customer GROUP BY c_custkey % 5, c_custkey % 50) c
+JOIN part ON k = p_partkey % 50 WHERE p_partkey % 3 <> 1"""
 SCORE = """
 SELECT concat('u', CAST(u AS STRING)) AS user_id, p_partkey AS listing_id, CASE WHEN (p_partkey + u) % 4 = 0 THEN 0 ELSE 1 END AS matches, CAST((p_partkey * 13 + u * 7) % 101 AS INT) AS priority
 FROM part CROSS JOIN (SELECT 0 AS u UNION ALL SELECT 1 UNION ALL SELECT 2) users WHERE p_partkey % 10 <> 3"""

@@ -8,6 +8,7 @@ from tallyspark.functions import dates as Dt
 from tallyspark.functions import json as Js
 from tallyspark.functions import listing as L
 from tallyspark.functions import text as T
+from tallyspark.operators.joins import one_edit_pairs
 from tallyspark.plans.proxies import Registry
 from tallyspark.sources import pages as S
 
@@ -39,9 +40,9 @@ def clean(t):
     return t.documents.select("doc_id", T.clean(F.col("text")).alias("text"))
 
 
-@R.add("j03_fold", f"SELECT doc_id, {_FOLD.format('text')} AS folded, replace({_FOLD.format('substr(text, 1, 60)')}, ' ', '-') AS slug FROM documents")
+@R.add("j03_fold", f"SELECT doc_id, {_FOLD.format('text')} AS folded, replace({_FOLD.format('text')}, ' ', '-') AS slug FROM documents")
 def fold(t):
-    return t.documents.select("doc_id", T.fold(F.col("text")).alias("folded"), T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return t.documents.select("doc_id", T.fold(F.col("text")).alias("folded"), T.slug(F.col("text")).alias("slug"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -108,12 +109,12 @@ def features(t):
     return t.part.select("p_partkey", F.array_join(T.features(text, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ",").alias("features"))
 
 
-@R.add("j23_references", "SELECT p_partkey, concat('AB-', 1000 + p_partkey) AS refs FROM part")
+@R.add("j23_references", "SELECT p_partkey, concat('ab ', 1000 + p_partkey) AS refs FROM part")
 def references(t):
     return t.part.select("p_partkey", F.array_join(T.references(cat("Réf : ab-", (F.col("p_partkey") + 1000).cast("string"), ", ref. 2024, réf ABCDE")), ",").alias("refs"))
 
 
-@R.add("j26_addresses", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS grade, CASE WHEN p_size % 3 = 0 THEN concat(p_size, ' bis') END AS number, true AS same FROM part WHERE p_size > 0")
+@R.add("j26_addresses", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS grade, CASE WHEN p_size % 3 = 0 THEN concat(p_size, 'bis') END AS number, true AS same FROM part WHERE p_size > 0")
 def addresses(t):
     n = s("p_size")
     a = F.when(F.col("p_size") % 3 == 0, cat(n, " bis rue de la Paix")).when(F.col("p_size") % 3 == 1, F.lit("Avenue Foch")).otherwise(F.lit("Nice centre"))
@@ -153,8 +154,14 @@ def mail(t):
 
 @R.add("p03_one_edit", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE length(a.n_name) >= 6 AND length(b.n_name) >= 6 AND levenshtein(a.n_name, b.n_name) <= 1")
 def one_edit(t):
-    a, b = t.nation.select(F.col("n_name").alias("a"), F.col("n_nationkey").alias("ka"), F.lit(1).alias("k")), t.nation.select(F.col("n_name").alias("b"), F.col("n_nationkey").alias("kb"), F.lit(1).alias("k"))
-    return a.join(b, "k").where(F.col("ka") < F.col("kb")).where(T.one_edit(F.col("a"), F.col("b"))).select("a", "b")
+    a, b = t.nation.select(F.col("n_name").alias("a"), F.col("n_nationkey").alias("ka")), t.nation.select(F.col("n_name").alias("b"), F.col("n_nationkey").alias("kb"))
+    return one_edit_pairs(a, b, "a", "b").where("ka < kb").select("a", "b")
+
+
+@R.add("p03_one_edit_brands", "WITH w AS (SELECT DISTINCT p_brand AS w FROM part) SELECT a.w AS x, b.w AS y FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= 1")
+def one_edit_brands(t):
+    w = t.part.select(F.col("p_brand").alias("x")).distinct()
+    return one_edit_pairs(w, w.toDF("y"), "x", "y").where("x < y")
 
 
 @R.add("k01_published", f"""
@@ -191,12 +198,12 @@ def weekday(t):
     return t.events.select("event_id", Dt.next_weekday(F.col("ts").cast("timestamp"), 8, 30).alias("at_time"), Dt.add_days(F.date_format("ts", "yyyy-MM-dd"), 7).alias("later"))
 
 
-@R.add("l01_french_numbers", "SELECT p_partkey, p_retailprice AS a, 1000.0::DOUBLE + p_size AS b, 1000000.0::DOUBLE + p_size AS c, CAST(NULL AS DOUBLE) AS d FROM part WHERE p_retailprice >= 1000")
+@R.add("l01_french_numbers", "SELECT p_partkey, p_retailprice AS a, 1000.0::DOUBLE + p_size AS b, 1000000.0::DOUBLE + p_size AS c, CAST(NULL AS DOUBLE) AS d FROM part")
 def french_numbers(t):
     price = F.format_number("p_retailprice", 2)
     fr = F.replace(F.replace(price, F.lit(","), F.lit(" ")), F.lit("."), F.lit(","))
     n = F.lpad(s("p_size"), 3, "0")
-    return t.part.where("p_retailprice >= 1000").select("p_partkey", T.number(fr).alias("a"), T.number(cat("1.", n)).alias("b"), T.number(cat("1,000,", n)).alias("c"), T.number(F.lit("x1")).alias("d"))
+    return t.part.select("p_partkey", T.number(fr).alias("a"), T.number(cat("1.", n)).alias("b"), T.number(cat("1,000,", n)).alias("c"), T.number(F.lit("x1")).alias("d"))
 
 
 @R.add("l03_rent", "SELECT p_partkey, 500.0::DOUBLE + p_size AS amount, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS included, CAST(NULL AS DOUBLE) AS weekly FROM part")
@@ -239,7 +246,7 @@ def json(t):
 
 @R.add("n04_json_remove", "SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS k, false AS has_description FROM events")
 def json_remove(t):
-    with_text = F.concat(F.lit('{"description":"x","scores":"y",'), F.substring("props", 2, 1000))
+    with_text = F.concat(F.lit('{"description":"x","scores":"y",'), F.expr("substring(props, 2)"))
     kept = Js.list_payload(with_text)
     return t.events.select("event_id", F.get_json_object(kept, "$.k").alias("k"), F.contains(kept, F.lit("description")).alias("has_description"))
 

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import listing as L
+from tallyspark.functions import text as T
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import dedupe as D
 from tallyspark.operators import lifecycle as S
 from tallyspark.operators import merge as M
 from tallyspark.operators import scoring as C
 from tallyspark.plans.proxies import Registry
+from tallyspark.session import stage
 
 R = Registry()
 NOW = "1998-12-01 00:00:00"
@@ -21,62 +23,103 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
-# One occurrence in ten keeps blocking cheap in the oracle's nested form; the operator itself has no such bound.
-_DUP = "SELECT * FROM occ WHERE group_id IS NOT NULL AND lifecycle = 'active' AND source_id IN ('s1', 's2', 's3', 's4', 's5', 's6', 's7', 's8')"
+_FOLD = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+_TOKENS = "list_filter(string_split(coalesce(" + _FOLD + ", ''), ' '), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "))"
+_GENERIC = ", ".join(f"'{w}'" for w in D.GENERIC_TITLE_WORDS)
 _URL = "concat(regexp_replace(split_part(split_part(url, '//', 2), '/', 1), '^www\\.', ''), lower(concat('/Ad/', split_part(split_part(url, '/Ad/', 2), '?', 1))), '?a=1&b=', split_part(split_part(url, '&b=', 2), '&', 1))"
-_KEYS = f"""
-k AS (SELECT DISTINCT id, key FROM (SELECT id, unnest([CASE WHEN phone IS NOT NULL THEN concat('phone:', phone) END, CASE WHEN email IS NOT NULL THEN concat('email:', email) END, concat('url:', {_URL}),
+_KIND = "avenue|av|boulevard|bd|rue|place|chemin|impasse|allee|promenade|quai|route|montee|traverse|square|passage|corniche"
+_PREP = f"""
+base AS (SELECT DISTINCT ON (id) * FROM occ WHERE group_id IS NOT NULL AND lifecycle = 'active'),
+feat AS (SELECT id, source_id, phone, email, price, area, rooms, city, postal_code, lat, lon, agency, {_URL} AS page, {_FOLD.format('address')} AS address, {_FOLD.format('district')} AS district,
+ nullif(regexp_extract({_FOLD.format('address')}, '^([0-9]+)( ?bis)?', 1), '') || CASE WHEN {_FOLD.format('address')} LIKE '% bis rue %' THEN 'bis' ELSE '' END AS house, regexp_replace({_FOLD.format('address')}, '^([0-9]+ (bis )?)?rue ', '') AS street,
+ list_filter([lower(reference), CASE WHEN description LIKE '% ref AB%' THEN lower(regexp_extract(description, ' ref (AB[0-9]+)', 1)) END], lambda x: x IS NOT NULL) AS published, CASE WHEN length(source_ref) >= 4 THEN source_ref END AS ref,
+ list_transform(coalesce(image_urls, []), lambda u: regexp_extract(u, '^https://([^?]*)', 1)) AS photos,
+ list_filter(list_transform(coalesce(image_urls, []), lambda u: regexp_replace(regexp_extract(u, '([^/?]*)([?].*)?$', 1), '[.]jpg$', '')), lambda x: length(x) >= 12) AS names,
+ {_TOKENS.format("title")} AS words, coalesce(title LIKE '%...', false) AS cut, list_distinct({_TOKENS.format("title")}) AS tt, list_distinct({_TOKENS.format("description")}) AS dt, coalesce(length(description), 0) AS described FROM base),
+pk AS (SELECT DISTINCT id, source_id, unnest(list_concat(photos, names)) AS key FROM feat),
+stock AS (SELECT DISTINCT key FROM pk GROUP BY key, source_id HAVING count(*) >= 3),
+worn AS (SELECT id, list(key) AS catalog FROM pk JOIN stock USING (key) GROUP BY id),
+bad AS (SELECT page FROM feat GROUP BY page HAVING count(*) > 3 AND count(DISTINCT concat(coalesce(CAST(price AS STRING), '?'), '|', coalesce(CAST(area AS STRING), '?'))) > 1),
+dup AS (SELECT f.* EXCLUDE (words), CASE WHEN cut THEN words[1:len(words) - 1] ELSE words END AS words, coalesce(catalog, []) AS catalog, bad.page IS NOT NULL AS generic, CASE WHEN ref IS NULL THEN published ELSE list_append(published, ref) END AS refs FROM feat f LEFT JOIN worn USING (id) LEFT JOIN bad USING (page))"""
+_KEYS = f"""{_PREP},
+k AS (SELECT DISTINCT id, key FROM (SELECT id, unnest(list_concat(list_concat(list_transform(refs, lambda x: concat('ref:', x)), list_transform(list_concat(photos, names), lambda x: concat('photo:', x))),
+ [CASE WHEN phone IS NOT NULL THEN concat('phone:', phone) END, CASE WHEN email IS NOT NULL THEN concat('email:', email) END, CASE WHEN NOT generic THEN concat('url:', page) END,
  CASE WHEN area IS NOT NULL THEN concat('area:', c, ':', ab) END, CASE WHEN area IS NOT NULL THEN concat('area:', c, ':', ab - 1) END, CASE WHEN price IS NOT NULL THEN concat('price:', c, ':', pb) END, CASE WHEN price IS NOT NULL THEN concat('price:', c, ':', pb - 1) END,
- CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb, ':', ab) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb, ':', ab - 1) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb - 1, ':', ab) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb - 1, ':', ab - 1) END]) AS key
+ CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb, ':', ab) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb, ':', ab - 1) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb - 1, ':', ab) END, CASE WHEN area IS NOT NULL AND price IS NOT NULL THEN concat('pa:', pb - 1, ':', ab - 1) END])) AS key
  FROM (SELECT *, coalesce(city, postal_code, '?') AS c, CAST(floor(area / 5 + 0.5) AS BIGINT) AS ab, CAST(floor(price / 50 + 0.5) AS BIGINT) AS pb FROM dup)) WHERE key IS NOT NULL),
 good AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 200),
 pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN good USING (key) JOIN k y USING (key) WHERE x.id < y.id)"""
+_JACCARD = "CASE WHEN len(l.{0}) = 0 OR len(r.{0}) = 0 THEN 0.0 ELSE len(list_intersect(l.{0}, r.{0}))::DOUBLE / len(list_distinct(list_concat(l.{0}, r.{0}))) END"
 _VERDICT = f"""
-sides AS (SELECT p.a, p.b, l.source_id <> r.source_id AS other, l.source_id = r.source_id AS own, l.city <> r.city AS city, abs(l.area - r.area) <= greatest(2, 0.05 * greatest(l.area, r.area)) AS near_area, abs(l.price - r.price) <= greatest(30, 0.06 * greatest(l.price, r.price)) AS near_price,
- l.rooms <> r.rooms AS rooms, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - l.lon) / 2), 2)))) AS km, abs(l.price - r.price) > 0.5 AS diff_price, floor(l.area + 0.5) <> floor(r.area + 0.5) AS diff_area, l.postal_code <> r.postal_code AS diff_post,
- l.phone = r.phone AS phone, l.email = r.email AS email, l.area = r.area AND l.area % 1 <> 0 AS exact, l.agency = r.agency AS agency, {_URL.replace('url', 'l.url')} = {_URL.replace('url', 'r.url')} AS page
+sides AS (SELECT p.a, p.b, l.source_id <> r.source_id AS other, l.city <> r.city AS city, abs(l.area - r.area) <= greatest(2, 0.05 * greatest(l.area, r.area)) AS near_area, abs(l.price - r.price) <= greatest(30, 0.06 * greatest(l.price, r.price)) AS near_price,
+ l.rooms <> r.rooms AS rooms, CASE WHEN l.lat IS NOT NULL AND r.lat IS NOT NULL THEN 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - l.lon) / 2), 2)))) END AS km, abs(l.price - r.price) > 0.5 AS diff_price, abs(l.area - r.area) >= 0.005 AS diff_area, l.postal_code <> r.postal_code AS diff_post,
+ l.phone = r.phone AS phone, l.email = r.email AS email, abs(l.area - r.area) < 0.005 AS exact, l.agency = r.agency AS agency, l.page = r.page AND NOT l.generic AS page, l.price = r.price AS same_price,
+ len(list_intersect(list_intersect(l.refs, r.refs), list_concat(l.published, r.published))) > 0 AS ref, len(list_intersect(l.photos, r.photos)) AS common, len(list_filter(list_intersect(l.photos, r.photos), lambda x: NOT list_contains(l.catalog, x))) AS own,
+ len(list_filter(list_intersect(l.names, r.names), lambda x: NOT list_contains(l.catalog, x))) AS named, len(l.photos) AS nl, len(r.photos) AS nr,
+ CASE WHEN l.address IS NULL OR r.address IS NULL THEN 'none' WHEN l.address = r.address THEN CASE WHEN l.house IS NULL THEN 'bare' ELSE 'numbered' END WHEN NOT (starts_with(l.street, r.street) OR starts_with(r.street, l.street)) THEN 'none'
+  WHEN l.house IS NOT NULL AND r.house IS NOT NULL THEN CASE WHEN l.house = r.house THEN 'numbered' ELSE 'none' END ELSE 'street' END AS street,
+ l.district = r.district AS district, coalesce(list_contains(r.tt, l.district), false) OR coalesce(list_contains(l.tt, r.district), false) AS in_title, {_JACCARD.format('tt')} AS tj, {_JACCARD.format('dt')} AS dj, least(l.described, r.described) AS described,
+ CASE WHEN len(l.words) <= len(r.words) THEN l.words ELSE r.words END AS sw, CASE WHEN len(l.words) <= len(r.words) THEN r.words ELSE l.words END AS lw, CASE WHEN len(l.words) <= len(r.words) THEN l.cut ELSE r.cut END AS cut
  FROM pairs p JOIN dup l ON l.id = p.a JOIN dup r ON r.id = p.b),
-v AS (SELECT a, b, CASE WHEN city THEN 'city' WHEN NOT near_area THEN 'area' WHEN NOT near_price THEN 'price' WHEN rooms THEN 'rooms' WHEN km > 0.5 THEN 'far' END AS blocker,
- CASE WHEN own THEN CASE WHEN diff_price THEN 'price' WHEN diff_area THEN 'area' WHEN diff_post THEN 'postal' END END AS conflict,
- CAST(CASE WHEN page THEN 70 ELSE 0 END + CASE WHEN other AND phone THEN 40 ELSE 0 END + CASE WHEN other AND email THEN 35 ELSE 0 END + CASE WHEN km <= 0.08 THEN 30 ELSE 0 END + CASE WHEN near_price THEN 18 ELSE 0 END + CASE WHEN near_area THEN 18 ELSE 0 END + CASE WHEN other AND exact THEN 30 ELSE 0 END + CASE WHEN NOT rooms THEN 6 ELSE 0 END + CASE WHEN agency THEN 12 ELSE 0 END + CASE WHEN NOT diff_post THEN 4 ELSE 0 END AS INT) AS strength FROM sides)"""
+seen AS (SELECT *, CASE WHEN nl = 0 OR nr = 0 THEN 'none' WHEN NOT other THEN CASE WHEN own > 0 AND common = nl AND common = nr AND common >= 2 THEN 'identical' ELSE 'none' END WHEN own >= 1 OR named >= 2 THEN 'shared' WHEN common >= 1 OR named >= 1 THEN 'partial' ELSE 'none' END AS photos,
+ len(sw) >= 4 AND len(list_filter(sw, lambda w: w NOT IN ({_GENERIC}))) >= 2 AND len(list_filter(sw, lambda w: NOT list_contains(lw, w))) = 0 AND (cut OR len(list_distinct(sw)) = len(list_distinct(lw))) AS same_title FROM sides),
+pts AS (SELECT a, b, relay, described, CASE WHEN city THEN 'city' WHEN NOT near_area THEN 'area' WHEN NOT near_price AND photos <> 'shared' THEN 'price' WHEN rooms THEN 'rooms' WHEN km > 0.5 THEN 'far' END AS blocker,
+ CASE WHEN NOT other THEN CASE WHEN diff_price THEN 'price' WHEN diff_area THEN 'area' WHEN diff_post THEN 'postal' END END AS conflict,
+ CASE WHEN near_price THEN 18 ELSE 0 END + CASE WHEN near_area THEN 18 ELSE 0 END + CASE WHEN other AND exact THEN 30 ELSE 0 END + CASE WHEN NOT rooms THEN 6 ELSE 0 END + CASE WHEN NOT diff_post THEN 4 ELSE 0 END AS figures,
+ CASE WHEN page THEN 70 ELSE 0 END + CASE photos WHEN 'shared' THEN 70 WHEN 'identical' THEN 45 WHEN 'partial' THEN 8 ELSE 0 END + CASE WHEN other AND phone THEN 40 ELSE 0 END + CASE WHEN other AND email THEN 35 ELSE 0 END + CASE WHEN other AND ref THEN 35 ELSE 0 END
+ + CASE WHEN street = 'numbered' OR (street = 'bare' AND other) THEN 30 WHEN street <> 'none' THEN 10 ELSE 0 END + CASE WHEN km <= 0.08 THEN 30 ELSE 0 END + CASE WHEN other AND agency THEN 12 ELSE 0 END + CASE WHEN district THEN 12 WHEN in_title THEN 8 ELSE 0 END
+ + CASE WHEN other AND same_title THEN 30 WHEN tj > 0.4 THEN floor(tj * 15 + 0.5) ELSE 0 END + CASE WHEN dj > 0.5 THEN floor(dj * 12 + 0.5) ELSE 0 END + relay AS others
+ FROM (SELECT *, CASE WHEN other AND exact AND same_price AND (a_means = source_b OR b_means = source_a) THEN 30 ELSE 0 END AS relay FROM (SELECT seen.*, la.means AS a_means, ra.means AS b_means, l.source_id AS source_a, r.source_id AS source_b FROM seen JOIN dup l ON l.id = a JOIN dup r ON r.id = b LEFT JOIN named la ON la.agency = l.agency LEFT JOIN named ra ON ra.agency = r.agency))),
+v AS (SELECT a, b, blocker, conflict, relay, CAST(CASE WHEN blocker IS NULL AND conflict IS NULL THEN figures + others ELSE 0 END AS INT) AS strength, blocker IS NULL AND conflict IS NULL AND figures + others >= 70 AND NOT (others = 0 AND described >= 100) AS duplicate FROM pts)"""
+#: The source that an agency's name means: small, here of every fourth agency.
+_NAMED = "named AS (SELECT concat('agency ', CAST(s_suppkey AS STRING)) AS agency, concat('s', CAST(s_suppkey AS STRING)) AS means FROM supplier WHERE s_suppkey % 4 = 0)"
+
+
+def _named(t):
+    return t.supplier.where("s_suppkey % 4 = 0").select(F.concat(F.lit("agency "), F.col("s_suppkey").cast("string")).alias("agency"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"))
 
 
 def _dup(t):
-    return t.occ.where("group_id is not null and lifecycle = 'active'").where(F.col("source_id").isin(*[f"s{i}" for i in range(1, 9)])).dropDuplicates(["id"])
+    return t.occ.where("group_id is not null and lifecycle = 'active'").dropDuplicates(["id"])
+
+
+def _verdicts(t):
+    rows = stage(t.spark, D.prepared(_dup(t), agencies=_named(t)), "prepared")  # used three times
+    return D.verdicts(D.candidate_pairs(rows), rows)
+
 
+def _links(t):
+    return stage(t.spark, _verdicts(t).where("verdict = 'duplicate'").select("a", "b", "relayed"), "links")
 
-@R.add("d01_blocking_pairs", f"WITH dup AS ({_DUP}), {_KEYS} SELECT a, b FROM pairs")
+
+@R.add("d01_blocking_pairs", f"WITH {_KEYS} SELECT a, b FROM pairs")
 def blocking(t):
-    return D.candidate_pairs(_dup(t))
+    return D.candidate_pairs(D.prepared(_dup(t)))
 
 
-@R.add("d03_similarity", f"WITH dup AS ({_DUP}), {_KEYS}, {_VERDICT} SELECT a, b, blocker, conflict, strength, least(strength, 100) AS score, CASE WHEN blocker IS NULL AND conflict IS NULL AND strength >= 70 THEN 'duplicate' WHEN blocker IS NULL AND conflict IS NULL AND strength >= 45 THEN 'ambiguous' ELSE 'different' END AS verdict FROM v")
+@R.add("d03_similarity", f"WITH {_NAMED}, {_KEYS}, {_VERDICT} SELECT a, b, blocker, conflict, strength, least(strength, 100) AS score, CASE WHEN duplicate THEN 'duplicate' WHEN strength >= 45 THEN 'ambiguous' ELSE 'distinct' END AS verdict FROM v")
 def similarity(t):
-    rows = _dup(t)
-    return D.verdicts(D.candidate_pairs(rows), rows)
+    return _verdicts(t).drop("signals", "relayed")
 
 
 @R.add("d11_components", f"""
-WITH RECURSIVE dup AS ({_DUP}), {_KEYS}, {_VERDICT}, e AS (SELECT a, b FROM v WHERE blocker IS NULL AND conflict IS NULL AND strength >= 70 UNION SELECT b, a FROM v WHERE blocker IS NULL AND conflict IS NULL AND strength >= 70),
+WITH RECURSIVE {_NAMED}, {_KEYS}, {_VERDICT}, e AS (SELECT a, b FROM v WHERE duplicate UNION SELECT b, a FROM v WHERE duplicate),
 reach AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other) SELECT node, min(other) AS label FROM reach GROUP BY node""")
 def components(t):
-    rows = _dup(t)
-    return D.closure(D.verdicts(D.candidate_pairs(rows), rows).where("verdict = 'duplicate'").select("a", "b"))
+    return D.closure(_links(t).select("a", "b"))
 
 
 @R.add("d13_dedupe", None)
 def dedupe(t):
-    rows = _dup(t)
-    seen = D.verdicts(D.candidate_pairs(rows), rows)
-    return D.groups(seen.where("verdict = 'duplicate'").select("a", "b", "strength"), seen.where("conflict is not null").select("a", "b"))
+    return D.dedupe(_dup(t), agencies=_named(t))
 
 
 @R.add("d12_contested", f"""
-WITH dup AS ({_DUP}), {_KEYS}, {_VERDICT}, links AS (SELECT a, b FROM v WHERE blocker IS NULL AND conflict IS NULL AND strength >= 70), ends AS (SELECT x FROM (SELECT a AS x FROM links UNION ALL SELECT b FROM links) GROUP BY x HAVING count(*) = 1)
-SELECT a, b FROM links WHERE a IN (SELECT x FROM ends) AND b IN (SELECT x FROM ends)""")
+WITH {_NAMED}, {_KEYS}, {_VERDICT}, links AS (SELECT a, b, relay > 0 AND least(strength, 100) - relay < 70 AS relayed FROM v WHERE duplicate),
+rivals AS (SELECT x FROM (SELECT a AS x FROM links WHERE relayed UNION ALL SELECT b FROM links WHERE relayed) GROUP BY x HAVING count(*) > 1)
+SELECT a, b, relayed FROM links WHERE NOT relayed OR (a NOT IN (SELECT x FROM rivals) AND b NOT IN (SELECT x FROM rivals))""")
 def contested(t):
-    rows = _dup(t)
-    return D.contested(D.verdicts(D.candidate_pairs(rows), rows).where("verdict = 'duplicate'").select("a", "b"))
+    return D.uncontested(_links(t))
 
 
 @R.add("e01_merge", """
@@ -120,11 +163,11 @@ def spec_keys(t):
 
 
 @R.add("e13_redundant", f"""
-WITH p AS (SELECT DISTINCT id, source_id, first_seen, {_SPEC} AS key FROM occ WHERE source_id IN ('s1', 's2', 's3')), d AS (SELECT DISTINCT {_SPEC} AS key FROM occ WHERE source_id = 's9'),
+WITH p AS (SELECT DISTINCT id, source_id, first_seen, {_SPEC} AS key FROM occ WHERE source_id <> 's9'), d AS (SELECT DISTINCT {_SPEC} AS key FROM occ WHERE source_id = 's9'),
 k AS (SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY first_seen, id) AS n FROM p WHERE key IS NULL OR key NOT IN (SELECT key FROM d WHERE key IS NOT NULL)) SELECT id FROM k WHERE key IS NULL OR n = 1""")
 def redundant(t):
     key = L.spec_key(F.col("price"), F.col("area"), F.col("city"), F.col("rooms")).alias("key")
-    pending = t.occ.where(F.col("source_id").isin("s1", "s2", "s3")).select("id", "source_id", F.struct("first_seen", "id").alias("ordinal"), key).dropDuplicates(["id"])
+    pending = t.occ.where("source_id <> 's9'").select("id", "source_id", F.struct("first_seen", "id").alias("ordinal"), key).dropDuplicates(["id"])
     return M.redundant(pending, t.occ.where("source_id = 's9'").select(key)).select("id")
 
 
@@ -143,7 +186,7 @@ WITH {_LIFE}, d AS (SELECT days AS day, count(*) AS n, sum(CASE WHEN ended THEN
 SELECT day, at_risk::BIGINT AS at_risk, deaths::BIGINT AS deaths, round(exp(sum(CASE WHEN deaths = at_risk THEN -1e9 ELSE ln(1 - deaths / at_risk) END) OVER (ORDER BY day)), 9) AS share FROM r WHERE deaths > 0""")
 def survival(t):
     days = F.date_diff(F.to_date("last_seen"), F.to_date("first_seen")).cast("double")
-    return A.survival(t.occ.select(days.alias("days"), (F.col("lifecycle") == "inactive").alias("ended"))).withColumn("share", F.round("share", 9))
+    return A.survival(t.occ.select(days.alias("days"), (F.col("lifecycle") == "inactive").alias("ended"))).drop("horizon").withColumn("share", F.round("share", 9))
 
 
 @R.add("f02_survival_median", f"""
@@ -274,10 +317,10 @@ def incidents(t):
 
 
 @R.add("f24_moving_average", """
-WITH RECURSIVE r AS (SELECT source_id, new_count, row_number() OVER (PARTITION BY source_id ORDER BY started_at, id) AS k FROM runs WHERE id % 10 = 0), f AS (SELECT source_id, k, floor((0.0::DOUBLE * 0.7 + new_count * 0.3) * 100 + 0.5) / 100 AS average FROM r WHERE k = 1
-UNION ALL SELECT r.source_id, r.k, floor((f.average * 0.7 + r.new_count * 0.3) * 100 + 0.5) / 100 FROM f JOIN r ON r.source_id = f.source_id AND r.k = f.k + 1) SELECT source_id, arg_max(average, k)::DOUBLE AS average FROM f GROUP BY source_id""")
+WITH RECURSIVE r AS (SELECT source_id, new_count, row_number() OVER (PARTITION BY source_id ORDER BY started_at, id) AS k FROM runs), f AS (SELECT source_id, k, floor((0.0::DOUBLE * 0.7::DOUBLE + new_count * 0.3::DOUBLE) * 100 + 0.5) / 100 AS average FROM r WHERE k = 1
+UNION ALL SELECT r.source_id, r.k, floor((f.average * 0.7::DOUBLE + r.new_count * 0.3::DOUBLE) * 100 + 0.5) / 100 FROM f JOIN r ON r.source_id = f.source_id AND r.k = f.k + 1) SELECT source_id, arg_max(average, k)::DOUBLE AS average FROM f GROUP BY source_id""")
 def moving_average(t):
-    return A.moving_average(t.runs.where("id % 10 = 0"), "source_id", ["started_at", "id"], "new_count")
+    return A.moving_average(t.runs, "source_id", ["started_at", "id"], "new_count")
 
 
 @R.add("f29_fill_matrix", "SELECT source_id, count(*) AS n, count(price) AS n_price, count(area) AS n_area, count(city) AS n_city, count(phone) AS n_phone FROM occ GROUP BY source_id")
@@ -405,11 +448,11 @@ def upsert(t):
 
 
 @R.add("b02_history", """
-WITH s AS (SELECT id, group_id, last_seen, price, area, row_number() OVER w AS n, lag(price) OVER w AS old_price, lag(area) OVER w AS old_area FROM (SELECT DISTINCT * FROM occ) WHERE group_id IS NOT NULL WINDOW w AS (PARTITION BY group_id ORDER BY last_seen, id)),
+WITH s AS (SELECT id, group_id, last_seen, price, area, row_number() OVER w AS n, lag(price) OVER w AS old_price, lag(area) OVER w AS old_area FROM (SELECT DISTINCT id, group_id, last_seen, price, area FROM occ) WHERE group_id IS NOT NULL WINDOW w AS (PARTITION BY group_id ORDER BY last_seen, id)),
 c AS (SELECT id, group_id, old_price, price, CASE WHEN n = 1 THEN 'baseline' WHEN price < old_price THEN 'price-drop' WHEN price IS DISTINCT FROM old_price THEN 'price-rise' END AS p, CASE WHEN n > 1 AND area IS DISTINCT FROM old_area THEN 'area' END AS a FROM s)
 SELECT id, group_id, old_price, price, CASE WHEN p IS NOT NULL AND a IS NOT NULL THEN 'multiple' ELSE coalesce(p, a) END AS change FROM c WHERE p IS NOT NULL OR a IS NOT NULL""")
 def history(t):
-    return S.history(t.occ.where("group_id is not null").distinct(), "group_id", "last_seen", "id", "price", "area").select("id", "group_id", "old_price", "price", "change")
+    return S.history(t.occ.where("group_id is not null").select("id", "group_id", "last_seen", "price", "area").distinct(), "group_id", "last_seen", "id", "price", "area").select("id", "group_id", "old_price", "price", "change")
 
 
 @R.add("b04_hash", "SELECT n_nationkey, sha256(concat('{\"n_name\":\"', n_name, '\",\"n_regionkey\":', n_regionkey, '}')) AS hash FROM nation")
@@ -439,11 +482,11 @@ def orphans(t):
 
 
 @R.add("b11_patch", """
-WITH c AS (SELECT 'u1' AS user_id, p_partkey AS listing_id, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS favorite, CAST(NULL AS INT) AS archived, CASE WHEN p_partkey % 3 = 0 THEN 'visited' END AS tracking, TIMESTAMP '1999-01-01' AS notified_at FROM part WHERE p_partkey <= 50)
+WITH c AS (SELECT 'u1' AS user_id, p_partkey AS listing_id, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS favorite, CAST(NULL AS INT) AS archived, CASE WHEN p_partkey % 3 = 0 THEN 'visited' END AS tracking, TIMESTAMP '1999-01-01' AS notified_at FROM part)
 SELECT coalesce(s.user_id, c.user_id) AS user_id, coalesce(s.listing_id, c.listing_id) AS listing_id, coalesce(s.notified_at, c.notified_at) AS notified_at, coalesce(c.favorite, s.favorite) AS favorite, coalesce(c.archived, s.archived) AS archived, coalesce(c.tracking, s.tracking) AS tracking FROM state s FULL OUTER JOIN c ON c.user_id = s.user_id AND c.listing_id = s.listing_id""")
 def patch(t):
     k = F.col("p_partkey")
-    given = t.part.where(k <= 50).select(F.lit("u1").alias("user_id"), k.alias("listing_id"), F.when(k % 2 == 0, 1).alias("favorite"), F.lit(None).cast("int").alias("archived"), F.when(k % 3 == 0, "visited").alias("tracking"), F.lit("1999-01-01").cast("timestamp").alias("notified_at"))
+    given = t.part.select(F.lit("u1").alias("user_id"), k.alias("listing_id"), F.when(k % 2 == 0, 1).alias("favorite"), F.lit(None).cast("int").alias("archived"), F.when(k % 3 == 0, "visited").alias("tracking"), F.lit("1999-01-01").cast("timestamp").alias("notified_at"))
     return S.patch(t.state, given)
 
 

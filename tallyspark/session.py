@@ -39,21 +39,49 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder for intermediate tables: spark.checkpoint.dir; where that is unset a temporary one, on a single machine (tests, bench) only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = getattr(spark, "_tallyspark_dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
         spark._tallyspark_dir = where
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def _run(spark: SparkSession) -> str:
+    """This session's own part of the shared folder."""
+    if not hasattr(spark, "_tallyspark_run"):
+        spark._tallyspark_run = uuid.uuid4().hex
+    return f"{shared_dir(spark)}/tallyspark-{spark._tallyspark_run}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     This cuts the lineage where a result is used more than once; the committed files
-    outlive any executor, so a later loss replays only from here.
+    outlive any executor, so a later loss replays only from here. They stay until ``unstage`` or ``clear_stages``.
     """
-    path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
+    path = f"{_run(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tallyspark_path = path
+    return back
+
+
+def unstage(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again, such as the last round of an iteration; other DataFrames are left alone."""
+    if path := getattr(df, "_tallyspark_path", None):
+        _delete(spark, path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all that this session has staged; for when its results have been written."""
+    _delete(spark, _run(spark))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -68,15 +68,45 @@ def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], name
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{shared_dir(spark)}/streams/{name}").trigger(availableNow=True).start()
 
 
+#: Hash buckets of a keyed table; a batch rewrites only those that its keys fall into.
+BUCKETS = 64
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """{bucket: version that holds it} after the last batch, or after the last one before ``before``; at most BUCKETS rows."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(base) if f.getPath().getName().startswith("manifest=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))] if fs.exists(base) else []
+    found = [v for v in found if before is None or v < before]
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/manifest={max(found)}").collect()} if found else {}
+
+
+def read_keyed(spark: SparkSession, path: str, buckets: dict[int, int] | None = None) -> DataFrame | None:
+    """A keyed table as the last batch left it, or only some (bucket, version) of it; None where there is nothing."""
+    held = _manifest(spark, path) if buckets is None else buckets
+    return spark.read.parquet(*[f"{path}/v={v}/bucket={b}" for b, v in sorted(held.items())]) if held else None
+
+
 def upsert_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps a keyed table as numbered versions, the latest of which is read; a repeated batch rewrites its own version."""
+    """A batch function that keeps a keyed table in hash buckets: a batch writes new versions of the buckets it touches, and then a manifest.
+
+    A repeated batch starts from the manifest before it, and so gives the same; a query that is resumed may begin with any number.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
-        if number == 0:
-            new.write.mode("overwrite").parquet(f"{path}/v=0")
-        else:
-            merge(spark.read.parquet(f"{path}/v={number - 1}"), new).write.mode("overwrite").parquet(f"{path}/v={number}")
+        held = _manifest(spark, path, number)
+        touched = [r["bucket"] for r in new.select(_bucket(keys).alias("bucket")).distinct().collect()]
+        old = read_keyed(spark, path, {b: v for b, v in held.items() if b in touched})
+        rows = new if old is None else merge(old, new)
+        rows.withColumn("bucket", _bucket(keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        left = {r["bucket"] for r in spark.read.parquet(f"{path}/v={number}").select("bucket").distinct().collect()} if touched else set()
+        now = {**{b: v for b, v in held.items() if b not in touched}, **{b: number for b in left}}
+        spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest={number}")
 
     return apply
