@@ -83,23 +83,28 @@ def _dup(t):
     return t.occ.where("group_id is not null and lifecycle = 'active'").dropDuplicates(["id"])
 
 
-def _verdicts(t):
+def _verdicts(t, blocked=False):
     rows = stage(t.spark, D.prepared(_dup(t), agencies=_named(t)), "prepared")  # used three times
-    return D.verdicts(D.candidate_pairs(rows), rows)
+    return D.verdicts(D.candidate_pairs(rows), rows, blocked)
 
 
 def _links(t):
     return stage(t.spark, _verdicts(t).where("verdict = 'duplicate'").select("a", "b", "relayed"), "links")
 
 
-@R.add("d01_blocking_pairs", f"WITH {_KEYS} SELECT a, b FROM pairs")
+@R.add("d01_blocking_pairs", f"WITH {_KEYS} SELECT a, count(*) AS partners, min(b) AS first, max(b) AS last FROM pairs GROUP BY a")
 def blocking(t):
-    return D.candidate_pairs(D.prepared(_dup(t)))
+    return D.candidate_pairs(D.prepared(_dup(t))).groupBy("a").agg(F.count("*").alias("partners"), F.min("b").alias("first"), F.max("b").alias("last"))
 
 
-@R.add("d03_similarity", f"WITH {_NAMED}, {_KEYS}, {_VERDICT} SELECT a, b, blocker, conflict, strength, least(strength, 100) AS score, CASE WHEN duplicate THEN 'duplicate' WHEN strength >= 45 THEN 'ambiguous' ELSE 'distinct' END AS verdict FROM v")
+@R.add("d03_similarity", f"WITH {_NAMED}, {_KEYS}, {_VERDICT} SELECT a, b, strength, least(strength, 100) AS score, CASE WHEN duplicate THEN 'duplicate' ELSE 'ambiguous' END AS verdict FROM v WHERE strength >= 45")
 def similarity(t):
-    return _verdicts(t).drop("signals", "relayed")
+    return _verdicts(t).where("verdict <> 'distinct'").select("a", "b", "strength", "score", "verdict")
+
+
+@R.add("d04_blockers", f"WITH {_NAMED}, {_KEYS}, {_VERDICT} SELECT blocker, conflict, CASE WHEN duplicate THEN 'duplicate' WHEN strength >= 45 THEN 'ambiguous' ELSE 'distinct' END AS verdict, count(*) AS n, sum(strength)::BIGINT AS strength FROM v GROUP BY ALL")
+def blockers(t):
+    return _verdicts(t, True).groupBy("blocker", "conflict", "verdict").agg(F.count("*").alias("n"), F.sum("strength").cast("long").alias("strength"))
 
 
 @R.add("d11_components", f"""
