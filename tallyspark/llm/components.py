@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.session import stage
+from tallyspark.session import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 40) -> DataF
     now = stage(spark, now, "edges")
     mark = None
     for _ in range(rounds):
-        now = stage(spark, _star(_star(now, True).distinct(), False).distinct(), "edges")
+        last, now = now, stage(spark, _star(_star(now, True).distinct(), False).distinct(), "edges")
+        unstage(spark, last)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row["n"], row["s"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.prefix import running_total
-from tallyspark.session import stage
+from tallyspark.session import stage, unstage
 
 #: Cells of a hot group in a shard are at most about this part of a quota.
 GRAIN = 64
@@ -43,7 +43,7 @@ def propagate(cells: DataFrame, quotas: dict[int, int], rounds: int = 8) -> Data
     It ends when nothing moves, or after ``rounds``: links that are still cut then stay cut.
     """
     spark = cells.sparkSession
-    cells = stage(spark, cells, "cells")
+    cells = held = stage(spark, cells, "cells")
     for _ in range(rounds):
         loads = _loads(cells, F.col("n"), len(quotas))
         room = {s: max(0, quotas[s] - loads[s]) for s in quotas}
@@ -54,7 +54,9 @@ def propagate(cells: DataFrame, quotas: dict[int, int], rounds: int = 8) -> Data
         asked = running_total(asked.select("grp", "sub", "home", "n", "aim"), ["aim"], ["grp", "sub", "home"], F.col("n"), "ahead", ["grp"])
         moves = asked.where(F.col("ahead") + F.col("n") <= _by_shard(room, F.col("aim"))).select("grp", "sub", "home", "aim")
         cells = cells.join(moves, ["grp", "sub", "home"], "left").select("grp", "sub", "home", "n", F.coalesce("aim", "shard").alias("shard"), F.col("aim").isNotNull().alias("moved"))
-        cells = stage(spark, cells, "cells")
+        last, cells = held, stage(spark, cells, "cells")
+        held = cells
+        unstage(spark, last)
         moved = cells.where("moved").agg(F.sum("n")).first()[0]
         cells = cells.drop("moved")
         if not moved:
