@@ -30,6 +30,8 @@ from tallyspark.llm.memory import give_back, held
 BLOCK = 4096
 #: Symbols of text handled at once by a worker; a longer text is handled alone.
 SLICE = 1_500_000
+#: Pieces of a language's labelled rows, of each of which the sample's candidates are picked first.
+PIECES = 64
 
 
 @dataclass(frozen=True)
@@ -184,8 +186,11 @@ def learn(docs: DataFrame, sample: Sample | None = None) -> dict[str, str]:
     sample = sample or Sample()
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample.documents)
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(PIECES)))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = Window.partitionBy("lang", "piece").orderBy(*order)  # a language's rows meet in PIECES tasks, and only their first ones in one
+    few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample.documents)
+    picked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= sample.documents)
     ids = {(r["doc_id"], r["lang"]) for r in picked.select("doc_id", "lang").collect()}
     if not ids:
         return {}

@@ -189,7 +189,7 @@ def test_added_spans_are_judged(spark):
     texts = [f"mail me at user{i}@mail.example.com or call +1 (555) 010-{1000 + i}" for i in range(40)] + [f"order 10{i}-555-0199 invoice release page {i}" for i in range(10)]
     texts += ["contact joe (at) site (dot) com for mail", "please call phone 212-555-0199 mobile"]
     got = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[50] == "email:8:32" and got[51] == "phone:18:30" and all(not got[i] for i in range(40, 50))
+    assert got[50] == "email:8:31" and got[51] == "phone:18:30" and all(not got[i] for i in range(40, 50))
 
 
 def test_added_spans_give_way_to_base_spans(spark):
@@ -225,11 +225,11 @@ def test_languages_with_scripts_of_their_own():
 
 def test_shards_cut_fewer_links_than_hashes(spark):
     rng = random.Random(2)
-    rows = [(i, f"text {rng.randrange(60)}") for i in range(600)] + [(1000 + i, "hot") for i in range(300)] + [(None, None), (None, "text 1")]
+    rows = [(i, f"text {rng.randrange(60)}") for i in range(300)] + [(1000 + i, "hot") for i in range(150)] + [(2000 + i, f"own {i}") for i in range(900)] + [(None, None), (None, "text 1")]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
     groups = {}
     for r in got:
         groups.setdefault((r["text_crc32"], r["size"]), []).append(r["shard"])
     pairs = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
     kept = sum(n * (n - 1) // 2 for g in groups.values() for n in Counter(g).values())
-    assert len(got) == len(rows) and kept / pairs > 2.5 / 8  # chance keeps an eighth; the hot group alone fills more than two shards
+    assert len(got) == len(rows) and kept / pairs > 0.5  # chance keeps an eighth
