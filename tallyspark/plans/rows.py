@@ -12,6 +12,7 @@ from tallyspark.operators import passes as P
 from tallyspark.operators import scoring as C
 from tallyspark.operators import views as V
 from tallyspark.plans.proxies import Registry
+from tallyspark.plans.stats import R as S
 
 R = Registry()
 NOW = "1998-12-01 00:00:00"
@@ -289,9 +290,16 @@ def eligibility(t):
     return rows.select("p_partkey", C.eligibility(F.lit(800.0)).alias("verdict"))
 
 
-@R.add("m09_score_listing", None)
+_PART = {k: S.oracles[k] for k in ("m01_match", "m03_opportunity", "m04_visit", "m05_risk")}
+
+
+@R.add("m09_score_listing", f"""
+SELECT id, match, opportunity, visit, risk, matches, CAST(CASE WHEN risk >= 40 THEN least(p, 49) ELSE p END AS INT) AS priority FROM (
+ SELECT a.id, a.value AS match, b.value AS opportunity, c.value AS visit, d.value AS risk, a.matches AND NOT coalesce(floor(least(w.a * 1.3 / 4.5 * 60, 25 + w.a * 1.3 / 50 * 60) + 0.5) > 60, false) AS matches,
+ greatest(least(floor(a.value * 0.3::DOUBLE + b.value * 0.35::DOUBLE + c.value * 0.25::DOUBLE + (100 - d.value) * 0.1::DOUBLE + 0.5), 100), 0) AS p
+ FROM ({_PART["m01_match"]}) a JOIN ({_PART["m03_opportunity"]}) b USING (id) JOIN ({_PART["m04_visit"]}) c USING (id) JOIN ({_PART["m05_risk"]}) d USING (id) JOIN (SELECT id, {_KM.format(43.65, 7.2)} AS a FROM lst) w USING (id))""")
 def score_listing(t):
-    return C.score_listing(t.lst, now(), C.Criteria(), _POINTS).select("id", "match", "opportunity", "visit", "risk", "matches", "priority")
+    return C.score_listing(t.lst, now(), C.Criteria(cities=("city1", "city2"), max_price=900.0, min_area=40.0), _POINTS, F.col("id") % 3 == 0).select("id", "match", "opportunity", "visit", "risk", "matches", "priority")
 
 
 # --- texts ------------------------------------------------------------------------------------------------------------------------------
