@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: What belongs to an application, whichever of its session objects asks: the temporary folder of a single machine, the package sent out.
+_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,10 @@ def ensure_importable(spark: SparkSession) -> None:
     """Ships the package to Python workers that cannot already find it.
 
     Workers see it when the repository is their working folder or on PYTHONPATH;
-    otherwise one archive of the package goes out through Spark's file server, once a session.
+    otherwise one archive of the package goes out through Spark's file server, once an application.
     """
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if os.getcwd() == str(ROOT) or str(ROOT) in paths or getattr(spark, "_tallyspark_shipped", False):
+    if os.getcwd() == str(ROOT) or str(ROOT) in paths or spark.sparkContext.applicationId in _shipped:
         return
     if str(ROOT) not in sys.path:
         sys.path.insert(0, str(ROOT))
@@ -35,7 +38,7 @@ def ensure_importable(spark: SparkSession) -> None:
         for p in sorted((ROOT / "tallyspark").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
-    spark._tallyspark_shipped = True
+    _shipped.add(spark.sparkContext.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,17 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        where = getattr(spark, "_tallyspark_dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-        spark._tallyspark_dir = where
-        spark.sparkContext.setCheckpointDir(where)
+        app = spark.sparkContext.applicationId
+        if app not in _folders:
+            _folders[app] = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
+            spark.sparkContext.setCheckpointDir(_folders[app])
+        where = _folders[app]
     return where
 
 
 def _run(spark: SparkSession) -> str:
-    """This session's own part of the shared folder."""
-    if not hasattr(spark, "_tallyspark_run"):
-        spark._tallyspark_run = uuid.uuid4().hex
-    return f"{shared_dir(spark)}/tallyspark-{spark._tallyspark_run}"
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tallyspark-{spark.sparkContext.applicationId}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -83,5 +86,5 @@ def unstage(spark: SparkSession, df: DataFrame) -> None:
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Deletes all that this session has staged; for when its results have been written."""
+    """Deletes all that this application has staged; for when its results have been written."""
     _delete(spark, _run(spark))
