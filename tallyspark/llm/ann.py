@@ -13,7 +13,8 @@ Inner products become distances by one added component that gives all members of
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id; vectors
 of different lengths aren't compared; equal vectors in a block are counted once and verified together; ties go to the smaller vec_id; rows with
-the query's own id are never its neighbours; a query with fewer candidates gets fewer rows; an empty table gives none; repeated query rows count once.
+the query's own id are never its neighbours and take no place of others; an id with several vectors is one neighbour, and one query, by the best product of any of
+them; a query with fewer candidates gets fewer rows; an empty table gives none; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -60,7 +61,9 @@ class Block:
         _, first, member = np.unique(keys, return_index=True, return_inverse=True)
         self.index, self.vectors = index, vectors[first]
         by = np.argsort(member, kind="stable")
-        self.ids = np.split(ids[by], np.cumsum(np.bincount(member))[:-1])
+        self.ids = [np.unique(x) for x in np.split(ids[by], np.cumsum(np.bincount(member))[:-1])]
+        self.copies = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(self.ids), return_counts=True)), strict=True))
+        self.most = max(self.copies.values())  # vectors that one id has
         norms = np.linalg.norm(self.vectors, axis=1)
         self.top = norms.max()
         unit = np.concatenate([self.vectors, np.sqrt(np.maximum(self.top**2 - norms**2, 0))[:, None]], axis=1) / self.top
@@ -76,12 +79,13 @@ class Block:
         hi = np.stack([v.searchsorted(x + half) for v, x in zip(self.values, lines.T, strict=True)])
         return lo, hi
 
-    def candidates(self, lines: np.ndarray, least: int = 0) -> Iterator[np.ndarray]:
-        """For each query's projections, the members that collide with them in enough directions: ``least`` of them, or all of a smaller block."""
+    def candidates(self, lines: np.ndarray, least: list[int] | None = None) -> Iterator[np.ndarray]:
+        """For each query's projections, the members that collide with them in enough directions: its ``least`` of them, or all of a smaller block."""
         n, index = len(self.vectors), self.index
-        need, enough = index.threshold * index.directions, min(n, max(least, index.verified, index.share * n))
+        need, usual = index.threshold * index.directions, max(index.verified, index.share * n)
         levels: list[tuple[np.ndarray, np.ndarray]] = []
         for q in range(len(lines)):
+            enough = min(n, max(usual, least[q] if least else 0))
             counts = np.zeros(n, np.int64)
             before = None
             found = np.arange(n)  # where windows hold too little at the last level, everything is verified
@@ -101,18 +105,29 @@ class Block:
                     break
             yield found
 
+    def _enough(self, q: int, k: int) -> int:
+        """As many members as surely hold ``k`` other ids: repeated ids and the query's own can take several."""
+        return k * self.most + self.copies.get(q, 0)
+
+    def _others(self, member: int, q: int, k: int) -> list[int]:
+        return [i for i in self.ids[member][: k + 1].tolist() if i != q]
+
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """(query, id, inner product) of each query's k best in this block."""
         out = []
         norms = np.linalg.norm(queries, axis=1)
         lines = (queries / norms[:, None]) @ self.lines[:-1]
-        for q, vector, found in zip(query_ids.tolist(), queries, self.candidates(lines, k + 1), strict=True):
+        ids = query_ids.tolist()
+        for q, vector, found in zip(ids, queries, self.candidates(lines, [k + 1 + self.copies.get(q, 0) for q in ids]), strict=True):
             scores = np.einsum("ij,j->i", self.vectors[found], vector)
-            if len(found) > k + 1:
-                keep = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            cut = len(found) - self._enough(q, k)
+            if cut > 0:
+                keep = scores >= np.partition(scores, cut)[cut]
                 found, scores = found[keep], scores[keep]
-            best = [(-s, i) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for i in self.ids[f][: k + 1].tolist() if i != q]
-            out += [(q, i, -s) for s, i in sorted(best)[:k]]
+            best: dict[int, float] = {}
+            for s, i in sorted((-s, i) for s, f in zip(scores.tolist(), found.tolist(), strict=True) for i in self._others(f, q, k)):
+                best.setdefault(i, -s)
+            out += [(q, i, s) for i, s in list(best.items())[:k]]
         return out
 
 
@@ -124,6 +139,11 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(fine).withColumn("dim", F.size("v"))
 
 
+def _without_repeats(ids: list[np.ndarray], vectors: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    rows = np.unique(np.column_stack([np.concatenate(ids).view(np.float64), np.concatenate(vectors)]).view(np.int64), axis=0)
+    return [np.ascontiguousarray(rows[:, 0])], [np.ascontiguousarray(rows[:, 1:]).view(np.float64)]
+
+
 def _match(batches: Iterable[pa.RecordBatch], k: int, index: Index) -> Iterator[pa.RecordBatch]:
     """Rows sorted by dim, block and kind: a block's vectors are gathered, then its queries stream past them."""
     key, ids, vectors, block = None, [], [], None
@@ -139,6 +159,8 @@ def _match(batches: Iterable[pa.RecordBatch], k: int, index: Index) -> Iterator[
             if kinds[lo] == 0:
                 ids.append(vec_ids[lo:hi])
                 vectors.append(held)
+                if sum(map(len, ids)) > 4 * index.block:  # more than a block is dealt: repeated rows
+                    ids, vectors = _without_repeats(ids, vectors)
             elif ids:
                 if block is None:
                     block, vectors = Block(np.concatenate(ids), np.concatenate(vectors), index), []
@@ -153,11 +175,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, index: Index | N
     spark = vectors.sparkSession
     vectors = stage(spark, vectors, "vectors")
     blocks = max(1, -(-vectors.count() // index.block))
-    deal = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
+    deal = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
     held = vectors.select("dim", deal.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
     asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
     dealt = held.unionByName(asked).repartition(2 * blocks, "dim", "block").sortWithinPartitions("dim", "block", "kind")
     found = dealt.mapInArrow(lambda batches: _match(batches, k, index), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

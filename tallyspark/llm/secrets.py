@@ -71,7 +71,7 @@ ALLOWED = tuple(
         rf"{HOST}(?:/+{WORDS})*/*\Z",
         rf"/{{1,2}}{WORDS}(?:/+{WORDS})*/*\Z",
         r"[\w.-]+\.(?:html?|json|xml|png|jpe?g|gif|svg|css|js|py|txt|pdf|zip|gz)\Z",
-        r"v?[0-9]+(?:\.[0-9]+){1,3}(?:[-_.]?(?:alpha|beta|rc|dev|post|final|build|snapshot|[a-z])[0-9]{0,8})*\Z",
+        r"v?[0-9]+(?:\.[0-9]+){1,3}(?:[-_.]?[a-z][0-9]{0,8})*\Z",  # a suffix as in 2.0-rc1.post2: one letter at a time, so that each text has one way to match
         r"(?:[A-Za-z]+[0-9]{0,4}[-_./=+]+)+[A-Za-z]*[0-9]{0,4}\Z",
     )
 )

@@ -344,7 +344,7 @@ def test_shards_are_even_and_keep_groups(spark, docs, empty):
 
 def test_running_total_with_null_keys(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 1, 1), ("a", None, 2)], "k string, i long, v long")
-    got = running_total(df, ["k"], ["i"], F.col("v"), "before", 4).collect()
+    got = running_total(df, ["k"], ["i"], F.col("v"), "before", pieces=4).collect()
     assert sorted(r["before"] for r in got if r["k"] is None) in ([0, 5], [0, 7])
     assert len(got) == 5 and max(r["before"] + r["v"] for r in got if r["k"] == "a") == 4
 
