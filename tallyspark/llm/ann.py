@@ -118,7 +118,7 @@ class Block:
         norms = np.linalg.norm(queries, axis=1)
         lines = (queries / norms[:, None]) @ self.lines[:-1]
         ids = query_ids.tolist()
-        for q, vector, found in zip(ids, queries, self.candidates(lines, [k + 1 + self.copies.get(q, 0) for q in ids]), strict=True):
+        for q, vector, found in zip(ids, queries, self.candidates(lines, [self._enough(q, k) + 1 for q in ids]), strict=True):
             scores = np.einsum("ij,j->i", self.vectors[found], vector)
             cut = len(found) - self._enough(q, k)
             if cut > 0:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, decontaminate, html, langid, mixing, pii, secrets, sharding, simhash, tokens
+from tallyspark.llm import ann, decontaminate, html, kmeans, langid, mixing, pii, resample, secrets, sharding, simhash, tokens, urls
 from tallyspark.session import load
 
 
@@ -54,6 +54,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(load(spark, sf_dir, "pages"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_secrets": op2_secrets,
@@ -65,8 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_tokens": op9_tokens,
     "op10_simhash": op10_simhash,
+    "op11_resample": op11_resample,
+    "op12_urls": op12_urls,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": decontaminate.oracle(),
+    "op12_urls": urls.ORACLE,
+    "op13_clusters": kmeans.oracle(),
 }
