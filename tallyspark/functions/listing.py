@@ -124,6 +124,11 @@ def spec_key(price: Column, area: Column, city: Column, rooms: Column) -> Column
     return F.when(ok, F.concat_ws("|", half_up(price).cast("string"), half_up(area).cast("string"), F.lower(city), F.coalesce(rooms.cast("string"), F.lit("?"))))
 
 
+def loose_key(price: Column, area: Column, rooms: Column) -> Column:
+    """Rounded rent and area, and rooms; without a place."""
+    return F.when(price.isNotNull() & area.isNotNull(), F.concat_ws("|", half_up(price).cast("long"), half_up(area).cast("long"), F.coalesce(rooms.cast("string"), F.lit("?"))))
+
+
 def strict_greatest(*cols: Column) -> Column:
     """The largest, or null if any is null."""
     known = cols[0].isNotNull()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.json import members, rebuilt
+
 #: Points of priority that the nearest listings of a user's taste gain.
 AFFINITY_BOOST = 15
 
@@ -81,9 +84,23 @@ def detail(listings: DataFrame, absorbed: DataFrame, contacts: DataFrame, wanted
     return to.join(listings, "id").join(log, "id", "left").withColumn("contacts", F.coalesce("contacts", F.array().cast("array<struct<at:timestamp,channel:string>>")))
 
 
-def as_json(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, json): a listing's payload with the table's columns in place of what it says of them; a broken payload counts as empty."""
-    held = F.coalesce(F.from_json("payload", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    own = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])
-    left = F.map_filter(held, lambda k, _: ~k.isin(*columns))
-    return rows.select("id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(left, own))))).alias("json"))
+def as_json(rows: DataFrame, columns: list[str], over: Iterable[str] = ()) -> DataFrame:
+    """(id, json): a listing's payload, all values with their types, in front of the table's ``columns``; only columns named in ``over``, a reader's own, go before what the payload says.
+
+    The id is a text and instants are ISO texts; a broken payload counts as empty; keys are in order of their names.
+    """
+    kinds = dict(rows.dtypes)
+
+    def value(c: str) -> Column:
+        text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") if kinds[c] == "timestamp" else F.col(c).cast("string") if c == "id" else F.col(c)
+        return F.coalesce(text.cast("variant"), F.parse_json(F.lit("null")))
+
+    def own(names: list[str]) -> Column:
+        return F.create_map(*[x for c in names for x in (F.lit(c), value(c))]) if names else F.create_map().cast("map<string,variant>")
+
+    first = [c for c in columns if c in set(over)]
+    held = F.map_filter(F.coalesce(members(F.col("payload")), F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin(*first) if first else F.lit(True))
+    rest = own([c for c in columns if c not in set(over)])
+    marked = rows.select("id", held.alias("held"), rest.alias("rest"), own(first).alias("first"))
+    left = F.map_filter("rest", lambda k, _: ~F.map_contains_key("held", k))
+    return marked.select("id", rebuilt(F.map_concat("held", left, "first")).alias("json"))

@@ -73,8 +73,29 @@ FROM events WHERE event_type <> 'purchase'"""
 HIST = """
 SELECT event_id AS id, CAST(user_id AS BIGINT) AS occurrence_id, CAST(ts AS TIMESTAMP) AS changed_at, CASE event_type WHEN 'signup' THEN 'baseline' WHEN 'error' THEN 'price-rise' WHEN 'click' THEN 'price-drop' WHEN 'view' THEN 'reappeared' ELSE 'multiple' END AS change, round(value, 2) AS price
 FROM events"""
-TEXTS = {"occ": OCC, "lst": LST, "state": STATE, "score": SCORE, "runs": RUNS, "hist": HIST}
-NEEDS = {"occ": (), "lst": ("occ",), "state": (), "score": (), "runs": (), "hist": ()}
+#: Descriptions put together from whole clauses in two orders, with figures that are no answer to a rule beside those that are.
+TERMS = """
+SELECT id, rent, rent - 40 AS bare, n, concat('Bel appartement à louer, ', CAST(30 + id % 60 AS STRING), ' m2, libre ', CASE WHEN id % 2 = 0 THEN concat(c, '. ', d, '. ', f) ELSE concat(f, '. ', d, '. ', c) END, '. ', o, '. Etage 3, ', CAST(1 + id % 5 AS STRING), ' pieces, tram a 200 m') AS text
+FROM (SELECT o_orderkey AS id, CAST(400 + o_orderkey % 900 AS DOUBLE) AS rent, 20 + o_orderkey % 60 AS n,
+  CASE o_orderkey % 7 WHEN 0 THEN concat('Charges : ', CAST(20 + o_orderkey % 60 AS STRING), ',50 €') WHEN 1 THEN 'Loyer hors charges : 675 €' WHEN 2 THEN concat('provision sur charges de ', CAST(20 + o_orderkey % 60 AS STRING), ' €')
+    WHEN 3 THEN concat('loyer dont ', CAST(20 + o_orderkey % 60 AS STRING), ' € de charges') WHEN 4 THEN concat(CAST(20 + o_orderkey % 60 AS STRING), ' € par mois de charges') WHEN 5 THEN 'loyer charges comprises, 1 200 € de revenus'
+    ELSE concat('Charges locatives (eau, ascenseur) : ', CASE WHEN o_orderkey % 5 = 0 THEN '1 200' ELSE CAST(20 + o_orderkey % 60 AS STRING) END, ' euros') END AS c,
+  CASE CAST(floor(o_orderkey / 7) AS BIGINT) % 8 WHEN 0 THEN concat('Dépôt de garantie : 1 ', CAST(100 + o_orderkey % 900 AS STRING), ' €') WHEN 1 THEN concat('DEPOT DE GARANTIE ', CAST(300 + o_orderkey % 600 AS STRING), ' EUROS') WHEN 2 THEN 'Caution solidaire demandée, dossier 900 €'
+    WHEN 3 THEN 'dépôt de garantie : deux mois de loyer hors charges' WHEN 4 THEN 'Caution 1 mois charges comprises' WHEN 5 THEN '1 mois de loyer pour dépôt de garantie' WHEN 6 THEN concat('dépôt de garantie : 2 mois de loyer, soit ', CAST(300 + o_orderkey % 600 AS STRING), ' €') ELSE 'caution à prévoir' END AS d,
+  CASE CAST(floor(o_orderkey / 56) AS BIGINT) % 7 WHEN 0 THEN concat('Honoraires : ', CAST(100 + o_orderkey % 200 AS STRING), ' €') WHEN 1 THEN 'Honoraires à la charge du bailleur : 500 €' WHEN 2 THEN concat('Honoraires locataire ', CAST(100 + o_orderkey % 200 AS STRING), ' € et honoraires d''état des lieux : 60 €')
+    WHEN 3 THEN concat('Honoraires : ', CAST(100 + o_orderkey % 200 AS STRING), ' € dont honoraires d''état des lieux 60 €') WHEN 4 THEN 'Honoraires à la charge du locataire : 13 €/m2' WHEN 5 THEN 'sans frais d''agence' ELSE 'Honoraires : 0 €' END AS f,
+  CASE o_orderkey % 6 WHEN 0 THEN 'Pour 2/3 personnes' WHEN 1 THEN 'ideal pour 4 colocataires' WHEN 2 THEN '1 locataire par chambre' WHEN 3 THEN '3 locataires au total' WHEN 4 THEN 'table pour 8 convives' ELSE '40 couchages' END AS o FROM orders) x"""
+#: Raw rows as sources give them, some of which are no listings.
+RAW = """
+SELECT concat('p', CAST(id % 5 AS STRING)) AS source_id, CASE WHEN id % 31 = 0 THEN ' ' ELSE CAST(id AS STRING) END AS source_ref, CASE WHEN id % 29 = 0 THEN NULL WHEN id % 23 = 0 THEN concat('https://s.example/vente/', CAST(id AS STRING)) ELSE concat(' https://s.example/louer/', CAST(id AS STRING), ' ') END AS source_url,
+  CASE WHEN id % 19 = 0 THEN 'Je cherche un appartement' WHEN id % 17 = 0 THEN 'Villa à vendre' WHEN id % 4 = 0 THEN 'Local commercial rue Barla' WHEN id % 4 = 1 THEN 'Studio meublé' ELSE concat('T', CAST(1 + id % 5 AS STRING), ' loue&nbsp;vide') END AS title,
+  concat(CASE WHEN id % 3 = 0 THEN concat(CAST(1 + id % 90 AS STRING), ' rue Pastorelli, ') ELSE '' END, CASE WHEN id % 17 = 0 AND id % 2 = 0 THEN 'belle maison' ELSE text END) AS description,
+  CASE id % 6 WHEN 0 THEN concat(CAST(CAST(rent AS BIGINT) AS STRING), ' € CC') WHEN 1 THEN concat(CAST(CAST(rent AS BIGINT) AS STRING), ' € + 55 € de charges') WHEN 2 THEN concat('1 ', CAST(100 + id % 900 AS STRING), ' € HC') WHEN 3 THEN NULL WHEN 4 THEN CASE WHEN id % 8 = 4 THEN '45 € / nuit' ELSE '900' END ELSE concat('Loyer : ', CAST(CAST(rent AS BIGINT) AS STRING), ',00 €/mois') END AS price_text,
+  CASE WHEN id % 5 = 0 THEN concat(CAST(n AS STRING), ' € / Mois') END AS charges_text, CASE WHEN id % 9 = 0 THEN '800 € TTC' WHEN id % 9 = 1 THEN 'NC' END AS deposit_text, concat(CAST(30 + id % 60 AS STRING), ',5 m²') AS area_text, CASE WHEN id % 2 = 0 THEN concat(CAST(1 + id % 5 AS STRING), ' pièces') END AS rooms_text,
+  CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN 'Nice centre' ELSE 'rue Pastorelli, 06000 Nice' END AS address_text, 'Nice' AS city_text, '06000' AS postal_code_text, CASE WHEN id % 10 = 0 THEN '04 93 00 00 01' END AS phone_text, CASE WHEN id % 3 = 1 THEN concat('Agence ', CAST(id % 9 AS STRING)) END AS agency_name, CAST(id AS STRING) AS contact_form_url
+FROM terms"""
+TEXTS = {"terms": TERMS, "raw": RAW, "occ": OCC, "lst": LST, "state": STATE, "score": SCORE, "runs": RUNS, "hist": HIST}
+NEEDS = {"terms": (), "raw": ("terms",), "occ": (), "lst": ("occ",), "state": (), "score": (), "runs": (), "hist": ()}
 
 
 class Tables:

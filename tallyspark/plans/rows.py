@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions import amounts as X
-from tallyspark.functions import text as T
+from tallyspark.functions import json as Js
+from tallyspark.functions import places as X
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import merge as M
 from tallyspark.operators import passes as P
@@ -22,19 +22,6 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
-def _quoted(v) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-
-
-def cases(name: str, column, rows: list[tuple[str, object]], kind: str) -> None:
-    """Registers a function of phrases: what it gives for a table of them, against the values that are right."""
-    values = ", ".join(f"({_quoted(x)}, CAST({_quoted(y)} AS {kind}))" for x, y in rows)
-
-    @R.add(name, f"SELECT * FROM (VALUES {values}) v(phrase, value)")
-    def run(t):
-        return t.spark.createDataFrame([(x,) for x, _ in rows], "phrase string").select("phrase", column(F.col("phrase")).alias("value"))
-
-
 # --- passes -----------------------------------------------------------------------------------------------------------------------------
 
 _SEEN = "seen AS (SELECT DISTINCT source_id, source_ref FROM occ WHERE CAST(source_ref AS BIGINT) % 3 = 0)"
@@ -255,9 +242,13 @@ def detail(t):
     return found.select("asked", "id", "city", F.size("contacts").cast("long").alias("contacts"), F.get("contacts", F.lit(0))["at"].alias("latest"))
 
 
-@R.add("c13_listing_json", """SELECT id, concat('{', CASE WHEN id % 11 < 2 THEN concat('"applicationStatus":"', CASE WHEN id % 11 = 0 THEN 'full' ELSE 'open' END, '",') ELSE '"applicationStatus":null,' END, CASE WHEN city IS NULL THEN '"city":null' ELSE concat('"city":"', city, '"') END, ',"description":"x","id":"', CAST(id AS STRING), '","imageUrls":"[\\"a\\",\\"b\\"]"}') AS json FROM lst""")
+@R.add("c13_listing_json", """
+SELECT id, '$.city' AS path, CASE WHEN city IS NULL THEN 'null' ELSE concat('"', city, '"') END AS value FROM lst UNION ALL SELECT id, '$.id', CAST(id AS STRING) FROM lst UNION ALL SELECT id, '$.rented', CASE WHEN rented THEN 'true' ELSE 'false' END FROM lst UNION ALL SELECT id, '$.rooms', coalesce(CAST(rooms AS STRING), 'null') FROM lst
+UNION ALL SELECT id, '$.imageUrls', '["a","b"]' FROM lst UNION ALL SELECT id, '$.description', '"x"' FROM lst UNION ALL SELECT id, '$.applicationStatus', CASE id % 11 WHEN 0 THEN '"full"' WHEN 1 THEN '"open"' ELSE 'null' END FROM lst
+UNION ALL SELECT id, '$.first_seen', concat('"', strftime(first_seen, '%Y-%m-%dT%H:%M:%S'), '.000Z"') FROM lst""")
 def listing_json(t):
-    return V.as_json(t.lst, ["city", "id"]).withColumn("json", F.regexp_replace("json", r"\\/", "/"))
+    made = V.as_json(t.lst, ["id", "city", "rented", "rooms", "first_seen"])
+    return Js.entries(made, "json").select("id", F.concat(F.lit("$."), "key").alias("path"), F.when(F.col("type") == "text", F.to_json(F.col("value").cast("variant"))).otherwise(F.coalesce("value", F.lit("null"))).alias("value"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------------------------
@@ -302,32 +293,6 @@ def score_listing(t):
     return C.score_listing(t.lst, now(), C.Criteria(cities=("city1", "city2"), max_price=900.0, min_area=40.0), _POINTS, F.col("id") % 3 == 0).select("id", "match", "opportunity", "visit", "risk", "matches", "priority")
 
 
-# --- texts ------------------------------------------------------------------------------------------------------------------------------
-
-cases("l04_charges", X.charges, [("700 € + 50 € de charges", 50), ("Charges : 82,50 €", 82.5), ("Loyer 700 €", None), ("dont 1 200 € charges", 1200), ("charges: 9000", None), ("120 € charges comprises", 120), ("", None), ("75€ charges", 75)], "DOUBLE")
-cases("l04_charges_field", X.charges_field, [("82 € / Mois", 82), ("1 782 €", 1782), ("45,5 € par mois", 45.5), ("nc", None), ("Charges : 30 €", 30), ("5000 €", None), ("60", 60)], "DOUBLE")
-cases("l08_deposit", lambda x: X.deposit(x, F.lit(800.0), F.lit(750.0)), [
-    ("Dépôt de garantie : 1 500 €", 1500), ("depot de garantie de 750,50 euros", 750.5), ("Caution 800€", 800), ("Caution solidaire demandée", None), ("dépôt de garantie : un mois de loyer", 750), ("Dépôt de garantie 2 mois", 1500),
-    ("dépôt de garantie : deux mois charges comprises", None), ("Dépôt de garantie : 9 000 €", None), ("loyer 800 €", None), ("", None)], "DOUBLE")
-cases("l08_deposit_field", lambda x: X.deposit_field(x, F.lit(800.0)), [("1 600 €", 1600), ("800", 800), ("0 €", None), ("9999 €", None), ("voir agence", None), ("790,25 eur", 790.25)], "DOUBLE")
-cases("l08_fees", lambda x: X.fees(x, F.lit(800.0)), [
-    ("Honoraires : 300 €", 300), ("Honoraires à la charge du bailleur : 500 €", None), ("honoraires locataire 250 € honoraires d'état des lieux 60 €", 310), ("Honoraires : 300 € dont honoraires d'état des lieux 60 €", 300), ("Honoraires : 0 €", 0), ("Honoraires : 5000 €", None), ("sans frais", None)], "DOUBLE")
-cases("j21_max_occupants", X.max_occupants, [("4 personnes", 4), ("2/3 personnes", 3), ("6 couchages", 6), ("idéal pour 3 colocataires", 3), ("2 locataires au total", 2), ("1 locataire par chambre", None), ("90 personnes", None), ("studio", None), ("", None)], "INT")
-cases("j25_street_address", X.street_address, [
-    ("Bel appartement, 12 rue de la Paix, Nice", "12 rue de la Paix"), ("situé au 5 bis avenue Jean Médecin. Calme", "5 bis avenue Jean Médecin"), ("22-24 Boulevard Carnot 06000", "22-24 Boulevard Carnot"), ("1 boulevard Lech Walesa Joli studio meublé", "1 boulevard Lech Walesa"),
-    ("proche de la rue Barla", None), ("disponible 06/2027 Boulevard Napoléon", None), ("", None)], "STRING")
-cases("j07_complete_words", lambda x: X.complete_words(x, F.array(F.lit("appartement"), F.lit("terrasse"), F.lit("meuble"))), [("Bel appart... avec terr…", "bel appartement avec terrasse"), ("un meu...", "un meu"), ("Appartement calme", "appartement calme"), ("zzzz...", "zzzz"), ("", "")], "STRING")
-cases("j42_portal", lambda x: X.portal(x, {"portal-a.example": "Portal A", "b.example": "B"}), [("https://www.portal-a.example/x", "Portal A"), ("https://b.example/", "B"), ("https://ab.example/", None), ("no address", None)], "STRING")
-cases("j34_photo_origin", lambda x: X.photo_origin(x, r"^https://img\.proxy\.example/ext/(?:_(https?)_/)?([^/]+)/[0-9a-f]{2}/([A-Za-z0-9_-]+)_r"), [
-    ("https://img.proxy.example/ext/_https_/media.agency.example/ab/L3Bob3Rvcy8xLmpwZw_r1.jpg", "https://media.agency.example/photos/1.jpg"), ("https://img.proxy.example/ext/media.agency.example/0f/L2EuanBn_r", "https://media.agency.example/a.jpg"),
-    ("https://img.proxy.example/ext/_https_/media.agency.example/ab/cGhvdG9z_r", "https://img.proxy.example/ext/_https_/media.agency.example/ab/cGhvdG9z_r"), ("https://x.example/1.jpg", "https://x.example/1.jpg")], "STRING")
-cases("p02_geocode_key", lambda x: X.geocode_key(x, F.lit("Nice")), [("12  Rue de la Paix ", "v3 12 rue de la paix nice"), ("", "v3 nice"), ("A", "v3 a nice")], "STRING")
-cases("j20_stale_features", lambda x: F.array_join(X.stale_features(F.array(F.lit("balcony"), F.lit("lift"), F.lit("pool")), x, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ","), [("avec balcon", "lift"), ("rien", "balcony,lift"), ("balcon et ascenseur", "")], "STRING")
-cases("j03_fold_marks", T.fold, [("Příliš žluťoučký kůň", "prilis zlutoucky kun"), ("Đặng Việt Nam", "ang viet nam"), ("ÉTÉ — Saint-Étienne", "ete saint etienne"), ("Straße", "stra e"), ("été", "ete"), ("a&amp;b", "a b"), ("", "")], "STRING")
-cases("j04_multiline_breaks", T.multiline, [("a<br>b<BR />c", "a\nb\nc"), ("  a \r\n\r\n\r\n b\rc ", "a\n\nb\nc"), ("x&eacute;&nbsp; y", "xé y"), ("", "")], "STRING")
-cases("j06_french_tokens", lambda x: F.array_join(T.tokens(x), " "), [("Studio meublé dans le centre avec balcon", "studio meuble centre balcon"), ("the flat and the city", "the flat and the city"), ("très beau T2 pour deux", "beau deux")], "STRING")
-
-
 @R.add("p04_reverse_key", "SELECT id, printf('rev1 %.5f,%.5f', lat, lon) AS key FROM lst WHERE lat IS NOT NULL")
 def reverse_key(t):
     return t.lst.where("lat is not null").select("id", X.reverse_key(F.col("lat"), F.col("lon")).alias("key"))

@@ -167,13 +167,23 @@ def spec_keys(t):
     return t.lst.select("id", L.spec_key(F.col("price"), F.col("area"), F.col("city"), F.col("rooms")).alias("key"))
 
 
+_LOOSE = "CASE WHEN price IS NOT NULL AND area IS NOT NULL THEN concat(CAST(floor(price + 0.5) AS BIGINT), '|', CAST(floor(area + 0.5) AS BIGINT), '|', coalesce(CAST(rooms AS STRING), '?')) END"
+_PENDING = """
+SELECT id, min(concat('s', CAST(CAST(substr(source_id, 2) AS BIGINT) % 10 AS STRING))) AS source_id, min(first_seen) AS first_seen, min(price) AS price, min(area) AS area, min(city) AS city, min(rooms) AS rooms, min(CASE WHEN group_id % 3 = 0 THEN group_id ELSE -1 END) AS g FROM occ WHERE group_id % 2 = 0 GROUP BY id"""
+
+
 @R.add("e13_redundant", f"""
-WITH p AS (SELECT DISTINCT id, source_id, first_seen, {_SPEC} AS key FROM occ WHERE source_id <> 's9'), d AS (SELECT DISTINCT {_SPEC} AS key FROM occ WHERE source_id = 's9'),
-k AS (SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY first_seen, id) AS n FROM p WHERE key IS NULL OR key NOT IN (SELECT key FROM d WHERE key IS NOT NULL)) SELECT id FROM k WHERE key IS NULL OR n = 1""")
+WITH p AS (SELECT *, {_SPEC} AS a, {_LOOSE} AS b FROM ({_PENDING}) x), d AS (SELECT {_SPEC} AS key FROM occ WHERE group_id % 16 = 1 UNION SELECT {_LOOSE} FROM occ WHERE group_id % 16 = 1),
+m AS (SELECT id, source_id, EXISTS (SELECT 1 FROM d WHERE key = a OR key = b) OR EXISTS (SELECT 1 FROM p q WHERE q.source_id <> 's9' AND (q.a = p.a OR q.b = p.b)) AS told, CASE WHEN g >= 0 AND source_id <> 's9' AND b IS NOT NULL THEN first_value(id) OVER (PARTITION BY source_id, b, g ORDER BY first_seen, id) END AS first FROM p)
+SELECT id, NULL AS of FROM m WHERE CASE WHEN source_id = 's9' THEN NOT told ELSE first IS NULL OR first = id END UNION ALL SELECT id, first FROM m WHERE source_id <> 's9' AND first <> id""")
 def redundant(t):
-    key = L.spec_key(F.col("price"), F.col("area"), F.col("city"), F.col("rooms")).alias("key")
-    pending = t.occ.where("source_id <> 's9'").select("id", "source_id", F.struct("first_seen", "id").alias("ordinal"), key).dropDuplicates(["id"])
-    return M.redundant(pending, t.occ.where("source_id = 's9'").select(key)).select("id")
+    name = lambda kind: F.concat(F.lit(f"https://img.example/{kind}"), F.lpad(F.col("g").cast("string"), 12, "0"), F.lit(".jpg"))
+    images = F.when(F.col("g") >= 0, F.array(name("front"), name("back"))).otherwise(F.array(name("front"), F.lit("https://img.example/x.jpg")))
+    pending = t.sql(_PENDING).select("*", F.struct("first_seen", "id").alias("ordinal"), images.alias("image_urls"))
+    rows = t.occ.where("group_id % 16 = 1")
+    direct = rows.select(L.spec_key(F.col("price"), F.col("area"), F.col("city"), F.col("rooms")).alias("key")).union(rows.select(L.loose_key(F.col("price"), F.col("area"), F.col("rooms"))))
+    kept, echoes = M.redundant(pending, direct, ("s9",))
+    return kept.select("id", F.lit(None).cast("string").alias("of")).union(echoes)
 
 
 @R.add("f01_totals", "SELECT count(*) AS total, coalesce(sum(CASE WHEN matches = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS matching, coalesce(sum(CASE WHEN lifecycle = 'active' THEN 1 ELSE 0 END), 0)::BIGINT AS active, coalesce(sum(CASE WHEN tracking = 'contacted' THEN 1 ELSE 0 END), 0)::BIGINT AS contacted FROM lst l LEFT JOIN score s ON s.listing_id = l.id AND s.user_id = 'u1' LEFT JOIN state st ON st.listing_id = l.id AND st.user_id = 'u1'")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tallyspark.functions.rows import latest
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -26,8 +28,8 @@ def cached(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 def put(cache: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The cache after new entries, which win."""
-    return cache.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+    """The cache after new entries, which win; of several for one key the largest by their columns."""
+    return cache.join(new.select(key), key, "left_anti").unionByName(latest(new, [key]))
 
 
 def sql_literal(c: Column, kind: str) -> Column:

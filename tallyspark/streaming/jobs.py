@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tallyspark.functions.rows import latest
 from tallyspark.session import shared_dir
 
 
@@ -91,22 +92,44 @@ def read_keyed(spark: SparkSession, path: str, buckets: dict[int, int] | None =
     return spark.read.parquet(*[f"{path}/v={v}/bucket={b}" for b, v in sorted(held.items())]) if held else None
 
 
-def upsert_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def upsert_into(path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """A batch function that keeps a keyed table in hash buckets: a batch writes new versions of the buckets it touches, and then a manifest.
 
-    A repeated batch starts from the manifest before it, and so gives the same; a query that is resumed may begin with any number.
+    Of a batch's rows with one key the largest by ``order`` (such as the time of the event), then by all columns, counts. A repeated batch starts from the manifest before it, and so
+    gives the same; a query that is resumed may begin with any number. ``vacuum`` removes versions that no late manifest names.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        held = _manifest(spark, path, number)
-        touched = [r["bucket"] for r in new.select(_bucket(keys).alias("bucket")).distinct().collect()]
-        old = read_keyed(spark, path, {b: v for b, v in held.items() if b in touched})
-        rows = new if old is None else merge(old, new)
-        rows.withColumn("bucket", _bucket(keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        new = latest(batch, keys, order).persist()  # read for its buckets and for the merge
+        try:
+            held = _manifest(spark, path, number)
+            touched = [r["bucket"] for r in new.select(_bucket(keys).alias("bucket")).distinct().collect()]
+            old = read_keyed(spark, path, {b: v for b, v in held.items() if b in touched})
+            rows = new if old is None else merge(old, new)
+            rows.withColumn("bucket", _bucket(keys)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        finally:
+            new.unpersist()
         left = {r["bucket"] for r in spark.read.parquet(f"{path}/v={number}").select("bucket").distinct().collect()} if touched else set()
         now = {**{b: v for b, v in held.items() if b not in touched}, **{b: number for b in left}}
         spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest={number}")
 
     return apply
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Deletes the manifests before the last ``keep``, and the versions that none of those names any more; returns these versions.
+
+    For when no reader still holds an older state, and no batch before the last ``keep`` can come again.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(base)] if fs.exists(base) else []
+    manifests, versions = (sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")) for kind in ("manifest", "v"))
+    kept = manifests[-keep:]
+    used = {v for m in kept for v in _manifest(spark, path, m + 1).values()}
+    gone = [v for v in versions if v not in used and kept and v < kept[0]]
+    for place in [*(f"v={v}" for v in gone), *(f"manifest={m}" for m in manifests[:-keep])]:
+        fs.delete(hadoop.Path(base, place), True)
+    return gone

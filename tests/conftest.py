@@ -19,4 +19,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tallyspark.session import clear_stages
+
+    clear_stages(session)
     session.stop()

@@ -161,6 +161,8 @@ def test_stages_can_be_removed(spark):
     assert os.path.exists(path) and df.count() == 3
     unstage(spark, df)
     assert not os.path.exists(path)
-    stage(spark, spark.range(3), "y")
+    other = stage(spark.newSession(), spark.range(3), "y")  # another session of the same application
+    own = os.path.dirname(os.path.dirname(other.inputFiles()[0].removeprefix("file://")))
+    assert own.startswith(shared_dir(spark).removeprefix("file://")) and os.path.exists(own)
     clear_stages(spark)
-    assert not [p for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p.startswith("tallyspark-")]
+    assert not os.path.exists(own)
