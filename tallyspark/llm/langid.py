@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.memory import give_back, held
 
+#: Symbols of a long text that are parsed side by side with its other blocks; results don't depend on it.
 BLOCK = 4096
 #: Symbols of text handled at once by a worker; a longer text is handled alone.
 SLICE = 1_500_000
@@ -150,7 +151,7 @@ class CrossParser:
         long = np.minimum(sizes[of] - nth * BLOCK, BLOCK)
         order = np.argsort(-long, kind="stable")
         begin, long, of = begin[order], long[order], of[order]
-        counts = np.ones((len(self.languages), len(of)), np.int32)
+        counts = np.zeros((len(self.languages), len(of)), np.int32)
         state = np.repeat(self.roots, len(of), axis=1)
         active = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), side="left")
         table, symbols = self.table, self.symbols
@@ -158,11 +159,44 @@ class CrossParser:
             went = table[state[:, :m] + symbols[:, codes[begin[:m] + t]]]
             counts[:, :m] += went & 1
             state[:, :m] = went >> 1
+        self._carry(codes, begin, long, of, nth[order], counts, state)
+        counts[:, nth[order] == 0] += 1  # a text's last phrase ends with it
         total = np.zeros((len(self.languages), n), np.int64)
         for row, got in zip(total, counts, strict=True):
             np.add.at(row, of, got)
         return total, letters
 
+    def _carry(self, codes: np.ndarray, begin: np.ndarray, long: np.ndarray, of: np.ndarray, nth: np.ndarray, counts: np.ndarray, state: np.ndarray) -> None:
+        """Mends ``counts`` and end states of blocks, all parsed from the start, to those of a parse that comes out of the block before.
+
+        Both parses run side by side from a block's first symbol until they meet, soon as a rule; from there on they are one. A block in which they never meet ends elsewhere, and
+        the block behind it is looked at again.
+        """
+        place = {(int(d), int(k)): i for i, (d, k) in enumerate(zip(of, nth, strict=True))}
+        before = {i: place[d, k - 1] for (d, k), i in place.items() if k}
+        after = {p: i for i, p in before.items()}
+        came = np.repeat(self.roots, len(of), axis=1)  # the states from which each block has been parsed
+        todo = np.array(sorted(before), np.int64)
+        while len(todo):
+            own, other = state[:, [before[i] for i in todo.tolist()]].copy(), came[:, todo].copy()
+            came[:, todo] = own
+            start, end = own != other, long[todo]
+            apart = start.copy()
+            for t in range(int(end.max())):
+                cols = np.flatnonzero(apart.any(axis=0) & (t < end))
+                if not len(cols):
+                    break
+                symbol = self.symbols[:, codes[begin[todo[cols]] + t]]
+                new, old = self.table[own[:, cols] + symbol], self.table[other[:, cols] + symbol]
+                live = apart[:, cols]
+                counts[:, todo[cols]] += np.where(live, (new & 1) - (old & 1), 0)
+                own[:, cols], other[:, cols] = np.where(live, new >> 1, own[:, cols]), np.where(live, old >> 1, other[:, cols])
+                apart[:, cols] &= own[:, cols] != other[:, cols]
+            lost = np.flatnonzero(apart.any(axis=0))
+            for c in lost:
+                state[:, todo[c]] = np.where(apart[:, c], own[:, c], state[:, todo[c]])
+            todo = np.array(sorted(after[i] for i in todo[lost].tolist() if i in after), np.int64)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """(language, score, phrase bits a letter) of every text; score is the runner-up's relative loss."""
         if not self.languages:

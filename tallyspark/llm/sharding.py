@@ -37,19 +37,22 @@ def _loads(df: DataFrame, value: Column, shards: int) -> dict[int, int]:
     return {s: found.get(s, 0) for s in range(shards)}
 
 
-def propagate(cells: DataFrame, quotas: dict[int, int], rounds: int = 8) -> DataFrame:
+def propagate(cells: DataFrame, quotas: dict[int, int]) -> DataFrame:
     """``cells`` (grp, sub, home, n, shard) with shards moved towards the other cells of their group, within ``quotas``.
 
-    It ends when nothing moves, or after ``rounds``: links that are still cut then stay cut.
+    It ends when nothing moves: what moves goes where its group has as many rows or more, so the sum of squares of a group's rows by shard grows with every move, and has a bound.
     """
     spark = cells.sparkSession
     cells = held = stage(spark, cells, "cells")
-    for _ in range(rounds):
+    while True:
         loads = _loads(cells, F.col("n"), len(quotas))
         room = {s: max(0, quotas[s] - loads[s]) for s in quotas}
-        votes = cells.groupBy("grp", "shard").agg(F.sum("n").alias("votes"))
-        rank = F.struct((_by_shard(room, F.col("shard")) > 0).alias("open"), F.col("votes"), (-F.col("shard")).alias("low"))
-        aims = votes.groupBy("grp").agg(F.max(rank).alias("best")).where("best.open").select("grp", (-F.col("best.low")).alias("aim"), F.col("best.votes").alias("aim_votes"))
+        votes = cells.groupBy("grp", "shard").agg(F.sum("n").alias("votes"), F.max("n").alias("largest"))
+        # A shard is open to a group while the largest of its cells fits: so the first that asks is granted, and a shard that is almost full isn't asked for ever.
+        here = F.collect_list(F.struct("votes", (-F.col("shard")).alias("low"), _by_shard(room, F.col("shard")).alias("room"), "largest"))
+        best = F.array_max(F.filter("here", lambda v: v["room"] >= F.array_max(F.transform("here", lambda w: w["largest"]))))
+        aims = votes.groupBy("grp").agg(here.alias("here")).select("grp", best.alias("best")).where("best is not null").select("grp", (-F.col("best.low")).alias("aim"), F.col("best.votes").alias("aim_votes"))
+        votes = votes.drop("largest")
         asked = cells.join(votes, ["grp", "shard"]).join(aims, "grp").where((F.col("aim") != F.col("shard")) & (F.col("aim_votes") >= F.col("votes")))
         asked = running_total(asked.select("grp", "sub", "home", "n", "aim"), ["aim"], ["grp", "sub", "home"], F.col("n"), "ahead", ["grp"])
         moves = asked.where(F.col("ahead") + F.col("n") <= _by_shard(room, F.col("aim"))).select("grp", "sub", "home", "aim")
@@ -76,7 +79,7 @@ def _settle(rows: DataFrame, quotas: dict[int, int]) -> DataFrame:
     for s in range(shards):
         base[s] = at
         at += over[s]
-    ranked = running_total(rows, ["shard", "linked"], ["doc_id", "grp"], F.lit(1), "rank")
+    ranked = running_total(rows, ["shard", "linked"], ["doc_id", "grp", "copy"], F.lit(1), "rank")
     rank = F.col("rank") + F.when(F.col("linked"), _by_shard(free, F.col("shard"))).otherwise(F.lit(0))
     pool = _by_shard(base, F.col("shard")) + rank
     to, at = F.lit(None).cast("int"), 0
@@ -88,7 +91,7 @@ def _settle(rows: DataFrame, quotas: dict[int, int]) -> DataFrame:
     return ranked.withColumn("shard", F.when(moving, to).otherwise(F.col("shard"))).drop("rank")
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Every row's doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -98,9 +101,13 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("grp"),
     )
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int"))
-    rows = stage(spark, rows, "rows")
+    rows = stage(spark, rows.withColumn("at", F.monotonically_increasing_id()), "rows")
     total = rows.count()
+    # Rows alike in id and text, where they are more than a HEAVY-th of all, are told apart by their place, so that they needn't keep together; there are fewer than HEAVY such kinds.
+    alike = rows.groupBy("doc_id", "grp").agg(F.count("*").alias("n")).where(F.col("n") > max(total / HEAVY, GRAIN)).select(F.col("doc_id").alias("same_id"), F.col("grp").alias("same_grp"))
+    rows = rows.join(F.broadcast(alike), F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("grp") == F.col("same_grp")), "left")
+    rows = rows.withColumn("copy", F.when(F.col("same_grp").isNotNull(), F.col("at")).otherwise(F.lit(0))).drop("at", "same_id", "same_grp")
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "grp", "copy"), F.lit(shards)).cast("int"))
     quotas = {s: total // shards + (s < total % shards) for s in range(shards)}
     groups = rows.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     grain = max(1, total // shards // GRAIN)
@@ -109,11 +116,11 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
     hot = rows.join(heavy, "grp")
     cold = rows.join(heavy.select("grp"), "grp", "left_anti").join(groups.where(F.col("members") <= total / HEAVY), "grp", "left")
     linked = hot.unionByName(cold).withColumn("linked", F.col("members").isNotNull())
-    linked = linked.withColumn("sub", F.when(F.col("linked"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("members") / F.lit(grain * shards)))).otherwise(F.lit(0)).cast("int")).drop("members")
+    linked = linked.withColumn("sub", F.when(F.col("linked"), F.pmod(F.xxhash64("doc_id", "copy", F.lit(7)), F.ceil(F.col("members") / F.lit(grain * shards)))).otherwise(F.lit(0)).cast("int")).drop("members")
     linked = stage(spark, linked, "linked")
     cells = linked.where("linked").groupBy("grp", "sub", "home").agg(F.count("*").alias("n")).withColumn("shard", F.col("home"))
-    cells = propagate(cells, quotas, rounds).select("grp", "sub", "home", "shard")
+    cells = propagate(cells, quotas).select("grp", "sub", "home", "shard")
     placed = linked.join(cells, ["grp", "sub", "home"], "left").withColumn("shard", F.coalesce("shard", "home")).drop("sub", "home")
     settled = _settle(stage(spark, placed, "placed"), quotas)
-    out = running_total(stage(spark, settled, "settled"), ["shard"], ["doc_id", "grp"], F.lit(1), "slot")
+    out = running_total(stage(spark, settled, "settled"), ["shard"], ["doc_id", "grp", "copy"], F.lit(1), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

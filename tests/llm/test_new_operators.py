@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyspark.llm import ann, kmeans, queries, resample, secrets, urls
+from tallyspark.llm import ann, kmeans, langid, minhash, queries, resample, secrets, sharding, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -256,3 +256,60 @@ def test_repeated_rows_of_one_block():
     v = [np.array([[1.0, 2], [1, 2], [0, 1]]), np.array([[1.0, 2], [3, 4]])]
     i, x = ann._without_repeats(ids, v)
     assert sorted(zip(i[0].tolist(), x[0].tolist(), strict=True)) == [(5, [1.0, 2.0]), (6, [0.0, 1.0]), (7, [3.0, 4.0])]
+
+
+# --- long texts, identical rows, strays ------------------------------------------------------------------------------------------------------
+
+
+@given(st.lists(st.text("abc é", max_size=60), min_size=1, max_size=6), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_blocks_change_no_parse(texts, block):
+    parser = langid.CrossParser({"x": "abc ab ca bca", "y": "cc ba aac b", "z": "é"}, 250)
+    whole, letters = parser.phrases(texts)
+    before, langid.BLOCK = langid.BLOCK, block
+    try:
+        cut, same = parser.phrases(texts)
+    finally:
+        langid.BLOCK = before
+    assert (whole == cut).all() and (letters == same).all()
+
+
+def test_identical_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(None, "")] * 3000 + [(7, "x")] * 500 + [(i, f"t{i}") for i in range(700)], "doc_id long, text string").repartition(6)
+    got = sharding.shard(rows, 8).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 4200 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_strays_meet_the_rest_of_their_bucket(spark):
+    rng = np.random.default_rng(7)
+    sets = {i: np.sort(rng.choice(5000, 40, replace=False)) for i in range(12)}
+    base = np.sort(rng.choice(np.arange(10_000, 20_000), 200, replace=False))
+    for i in range(12, 60):  # a large group of near copies
+        sets[i] = np.sort(np.concatenate([base[:195], rng.choice(np.arange(30_000, 40_000), 5, replace=False)]))
+    sets[60] = np.sort(np.concatenate([sets[3][:38], [90_000, 90_001]]))
+    rows = [(1, n, len(x)) for n, x in sets.items()]
+    buckets = spark.createDataFrame(rows, "key long, node long, size int")
+    table = spark.createDataFrame([(n, [int(v) for v in x]) for n, x in sets.items()], "node long, shingles array<long>")
+    before = minhash.CHUNK, minhash.HASHES
+    minhash.CHUNK, minhash.HASHES = 5, 10_000
+    try:
+        edges = {tuple(r) for r in minhash.links(spark, buckets, table).collect()}
+    finally:
+        minhash.CHUNK, minhash.HASHES = before
+    root = {n: n for n in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = set(sets[a].tolist()), set(sets[b].tolist())
+        assert len(x & y) / len(x | y) >= 0.8
+        root[find(a)] = find(b)
+    for a in sets:
+        for b in sets:
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            assert len(x & y) / len(x | y) < 0.8 or find(a) == find(b)
