@@ -28,19 +28,35 @@ def substrings(key: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(F.array(*[parts(n) for n in lengths])))) if lengths else F.array().cast("array<string>")
 
 
+def squished(x: Column) -> Column:
+    """A name's letters and digits alone."""
+    return F.replace(T.fold(x), F.lit(" "), F.lit(""))
+
+
 def resolve(names: DataFrame, handles: DataFrame) -> DataFrame:
-    """(name, source_id): the source that a name means. ``handles`` is (source_id, title).
+    """(name, source_id): the source that a name means. ``handles`` is (source_id, title), a row for each name of a source.
 
-    The same key; else the only source whose key the name contains; else the only one that shares a long word. Several: null.
+    The first rule that finds one source alone: the same letters; one name within the other, of eight letters or more (several sources: null, no weaker rule is asked); the only word of a source's id; the same name
+    with the trade's word abbreviated. All are equal joins.
     """
-    keyed = handles.select("source_id", T.agency_key(F.col("title")).alias("key"), F.explode_outer(F.filter(name_tokens(F.col("title")), lambda w: F.length(w) >= WORD)).alias("word"))
-    keys, words = keyed.select("source_id", "key").distinct(), keyed.where("word is not null").select("source_id", "word").distinct()
-    rows = names.select("name").distinct()
-    only = lambda df, out: df.groupBy("name").agg(F.collect_set("source_id").alias("s")).where("size(s) = 1").select("name", F.get("s", F.lit(0)).alias(out))
-    exact = only(rows.withColumn("key", T.agency_key(F.col("name"))).join(keys, "key"), "s1")
-    held = only(rows.withColumn("key", F.explode(substrings(T.agency_key(F.col("name")), lengths_of(keys)))).join(keys, "key"), "s2")
-    word = only(rows.withColumn("word", F.explode(name_tokens(F.col("name")))).join(words, "word"), "s3")
-    return rows.join(exact, "name", "left").join(held, "name", "left").join(word, "name", "left").select("name", F.coalesce("s1", "s2", "s3").alias("source_id"))
+    keyed = handles.select("source_id", squished(F.col("title")).alias("key"), T.agency_key(F.col("title")).alias("short"), name_tokens(F.regexp_replace("source_id", "-", " ")).alias("words"))
+    keys = keyed.select("source_id", "key").where(F.length("key") >= 4).distinct()
+    words = keyed.where((F.size("words") == 1) & (F.length(F.get("words", F.lit(0))) >= WORD)).select("source_id", F.get("words", F.lit(0)).alias("word")).distinct()
+    words = words.groupBy("word").agg(F.min("source_id").alias("source_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    shorts = keyed.where(F.length("short") >= WORD).select("source_id", "short").distinct()
+    rows = names.select("name").distinct().withColumn("key", squished(F.col("name"))).where("key <> ''")
+    found = lambda df, out: df.groupBy("name").agg(F.count_distinct("source_id").alias("n"), F.min("source_id").alias("s")).select("name", F.when(F.col("n") == 1, F.col("s")).alias(out), F.col("n").alias(f"n_{out}"))
+    exact = found(rows.join(keys, "key"), "s1")
+    inside = rows.select("name", F.explode(substrings(F.col("key"), lengths_of(keys))).alias("key")).join(keys, "key").select("name", "source_id")
+    held = keys.select("source_id", F.explode(substrings(F.col("key"), lengths_of(rows))).alias("key")).join(rows, "key").select("name", "source_id")
+    near = found(inside.union(held), "s2")
+    word = found(rows.withColumn("word", F.explode(name_tokens(F.col("name")))).join(words, "word"), "s3")
+    short = found(rows.withColumn("short", T.agency_key(F.col("name"))).join(shorts, "short"), "s4")
+    all_names = names.select("name").distinct()
+    for more in (exact, near, word, short):
+        all_names = all_names.join(more, "name", "left")
+    undecided = F.coalesce("n_s2", F.lit(0)) > 1
+    return all_names.select("name", F.coalesce("s1", "s2", F.when(~undecided, F.coalesce("s3", "s4"))).alias("source_id"))
 
 
 def group(names: DataFrame) -> DataFrame:

@@ -9,9 +9,12 @@ from tallyspark.functions import grammar as G
 from tallyspark.functions import json as Js
 from tallyspark.functions import places as X
 from tallyspark.functions import text as T
+from tallyspark.operators import crawl as K
 from tallyspark.operators import cut_words as W
+from tallyspark.operators import names as N
 from tallyspark.operators import normalize as Z
 from tallyspark.plans.proxies import Registry
+from tallyspark.sources import pages as Pg
 from tallyspark.sources import payloads as P
 
 R = Registry()
@@ -195,6 +198,53 @@ def occurrence_ids(t):
     return doc.select("group_id", F.array_join(F.array_sort(Js.occurrence_ids(mixed)), "|").alias("ids"))
 
 
+# --- crawls and labels ------------------------------------------------------------------------------------------------------------------
+
+_PAGES = """
+SELECT CAST(o_custkey AS STRING) AS source_id, concat('l', CAST(o_orderkey % 3 AS STRING)) AS list_url, o_orderkey AS ordinal, o_custkey AS c,
+ CASE o_custkey % 8 WHEN 0 THEN 'unchanged' WHEN 2 THEN 'failed' WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'read' END WHEN 4 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'rateLimited' ELSE 'read' END WHEN 5 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'blocked' ELSE 'read' END ELSE 'read' END AS status,
+ o_custkey % 8 = 1 AS says_empty, CASE WHEN o_custkey % 16 = 6 THEN 9999 WHEN o_custkey % 8 = 7 THEN 2 END AS announced FROM orders"""
+_STUBS = "SELECT CAST(o_custkey AS STRING) AS source_id, CAST(l_partkey AS STRING) AS source_ref, o_orderkey AS ordinal FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 8 NOT IN (0, 1, 2)"
+_VERDICT = f"""
+pg AS ({_PAGES}), sb AS ({_STUBS}), stop AS (SELECT source_id, min(ordinal) AS at, arg_min(status, ordinal) AS why FROM pg WHERE status IN ('rateLimited', 'blocked') GROUP BY source_id),
+n AS (SELECT p.source_id, count(*) FILTER (status = 'read') AS pages_fetched, count(*) FILTER (status = 'unchanged') AS u, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'read' AND says_empty) AS e, max(announced) FILTER (status = 'read') AS announced, min(why) AS why FROM pg p LEFT JOIN stop s ON s.source_id = p.source_id WHERE at IS NULL OR ordinal <= at GROUP BY p.source_id),
+l AS (SELECT source_id, count(DISTINCT list_url) AS lists FROM pg GROUP BY source_id), g AS (SELECT b.source_id, count(DISTINCT source_ref) AS collected FROM sb b LEFT JOIN stop s ON s.source_id = b.source_id WHERE at IS NULL OR ordinal < at GROUP BY b.source_id),
+v AS (SELECT n.source_id, CASE WHEN why IS NOT NULL THEN why WHEN u = lists THEN 'notModified' WHEN coalesce(collected, 0) = 0 AND e = lists THEN 'empty' WHEN coalesce(collected, 0) = 0 AND pages_fetched = 0 THEN 'tooManyErrors' ELSE 'completed' END AS stop_reason, pages_fetched, coalesce(collected, 0) AS collected, announced, f > 0 AS part FROM n JOIN l ON l.source_id = n.source_id LEFT JOIN g ON g.source_id = n.source_id)"""
+
+
+@R.add("a03_outcomes", f"WITH {_VERDICT} SELECT source_id, stop_reason, pages_fetched, collected, announced, stop_reason = 'completed' AND NOT part AND collected >= coalesce(announced, 0) AS complete FROM v")
+def crawl_outcomes(t):
+    return K.outcomes(t.sql(_PAGES), t.sql(_STUBS)).drop("partial")
+
+
+@R.add("a03_references", f"""
+WITH {_VERDICT}, d AS (SELECT DISTINCT sb.source_id, source_ref, part, CAST(source_ref AS BIGINT) AS k FROM sb JOIN v ON v.source_id = sb.source_id WHERE stop_reason = 'completed')
+SELECT source_id, source_ref, CASE WHEN k % 5 = 0 AND k % 2 = 0 AND NOT part THEN 'withdrawn' WHEN k % 3 = 0 AND k % 7 <> 0 THEN 'rendered' WHEN k % 2 = 0 THEN 'confirmed' ELSE 'skipped' END AS fate FROM d""")
+def crawl_references(t):
+    stubs = t.sql(_STUBS)
+    k = F.col("source_ref").cast("long")
+    details = stubs.where(k % 5 == 0).select("source_id", "source_ref", F.lit(True).alias("gone"), F.lit(None).cast("string").alias("price_text")).union(stubs.where(k % 3 == 0).select("source_id", "source_ref", F.lit(False), F.when(k % 7 != 0, "700 €")))
+    return K.references(K.outcomes(t.sql(_PAGES), stubs), stubs, details, stubs.where(k % 2 == 0))
+
+
+@R.add("a15_labels", """
+SELECT page_id, concat('Surface=', page_id % 90 + 10, ' m²|Étage=', page_id % 7, '|Loyer=', 500 + page_id, ' €|Dépôt=', page_id, '|Charges=non') AS pairs FROM pages""")
+def labels(t):
+    k = s("page_id")
+    made = F.concat(F.lit("<dl class='x'><dt>Surface :</dt><dd><b>"), (F.col("page_id") % 90 + 10).cast("string"), F.lit(" m&sup2;</b></dd><dd>autre</dd><dt>Étage</dt><dd>"), (F.col("page_id") % 7).cast("string"), F.lit("</dd></dl><table><tr><th>Loyer</th><td>"), (F.col("page_id") + 500).cast("string"),
+                    F.lit(" &euro;</td><td>x</td></tr><tr><th>Seul</th></tr></table><script>var a = '<dt>a</dt><dd>b</dd>'</script><ul><li>rien ici</li><li>Dépôt&nbsp;: <i>"), k, F.lit("</i></li><li>Charges: non</li></ul>"), F.coalesce("html", F.lit("")))
+    pairs = F.transform(Pg.labelled(made), lambda p: F.concat(p["label"], F.lit("="), p["value"]))
+    return t.pages.select("page_id", F.array_join(F.slice(pairs, 1, 5), "|").alias("pairs"))
+
+
+@R.add("d27_abbreviated", """
+SELECT concat('IMMO Dupont ', s_suppkey) AS name, CASE WHEN s_suppkey % 3 <> 0 THEN concat('src-', s_suppkey) END AS source_id FROM supplier""")
+def abbreviated(t):
+    k = s("s_suppkey")
+    handles = t.supplier.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("src-"), k).alias("source_id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Immobilière Dupont ").otherwise("Immobilier DUPONT "), k).alias("title"))
+    return N.resolve(t.supplier.select(F.concat(F.lit("IMMO Dupont "), k).alias("name")), handles)
+
+
 # --- words ------------------------------------------------------------------------------------------------------------------------------
 
 _CUT = "SELECT id, concat(substr(title, 1, 6 + price_len % 23), CASE WHEN price_len % 2 = 0 THEN '...' ELSE '…' END, ' fin') AS text FROM (SELECT id, title, CAST(length(id) + length(title) AS BIGINT) AS price_len FROM occ WHERE title IS NOT NULL) x"

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import json as Js
 from tallyspark.functions import places as X
+from tallyspark.functions.rows import latest
 from tallyspark.operators import aggregates as A
+from tallyspark.operators import dedupe as D
 from tallyspark.operators import merge as M
 from tallyspark.operators import passes as P
 from tallyspark.operators import scoring as C
@@ -87,7 +89,19 @@ def registry(t):
 
 @R.add("o14_regroup", None)
 def regroup(t):
-    return P.regroup(t.occ, now()).select("id", "match", "opportunity", "visit", "risk", "matches", "priority")
+    return P.regroup(t.occ, now(), points=_POINTS)[0].select("id", "match", "opportunity", "visit", "risk", "matches", "priority")
+
+
+@R.add("o14_regroup_changes", "SELECT count(DISTINCT id) AS n, 0::BIGINT AS differing FROM occ WHERE lifecycle = 'active' AND group_id IS NOT NULL")
+def regroup_changes(t):
+    rows = latest(t.occ.where("lifecycle = 'active' and group_id is not null"), ["id"], ["last_seen"])
+    mark = F.pmod(F.xxhash64("id"), F.lit(50))
+    # Before: some occurrences are not there yet, some have other rents, and some will be gone.
+    more = rows.where(mark == 2).withColumn("id", F.concat(F.lit("gone:"), "id"))
+    old = rows.where(mark != 0).withColumn("price", F.when(mark == 1, F.col("price") + 7).otherwise(F.col("price"))).unionByName(more)
+    repaired = D.of_groups(rows, D.grouping(rows, before=D.grouping(old)))
+    both = repaired.join(D.dedupe(rows).withColumnRenamed("grp", "whole"), "id")
+    return both.agg(F.count("*").alias("n"), F.count(F.when(F.col("grp") != F.col("whole"), 1)).alias("differing"))
 
 
 # --- merging ----------------------------------------------------------------------------------------------------------------------------

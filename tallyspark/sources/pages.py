@@ -56,6 +56,29 @@ def after_label(x: Column, label: str, value: str) -> Column:
     return T.first_match(x, rf"(?i)(?:{label})\s*:?\s*({value})", 1)
 
 
+def labelled(html: Column) -> Column:
+    """array<{label, value}>: a page's labels with their values in page order: dt and dd, th and td side by side, and list items of the form "label : value"; both without tags.
+
+    The page becomes its cells in order, each knowing its place, and a label takes the next cell if that is a value of its kind.
+    """
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->", "")
+    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:dt|dd|th|td|li)\b[^>]*>.*?(?=</?(?:dt|dd|th|td|li|tr|dl|ul|ol|table)\b)"), 0)
+    cells = F.transform(found, lambda c: F.struct(F.lower(F.regexp_extract(c, r"^<(\w+)", 1)).alias("kind"), T.clean(F.regexp_replace(c, "<[^>]*>", " ")).alias("text")))
+
+    def pairs(held: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            after = F.get(held, i + 1)
+            fits = ((c["kind"] == "dt") & (after["kind"] == "dd")) | ((c["kind"] == "th") & (after["kind"] == "td"))
+            colon = F.regexp_extract(c["text"], r"^([^:]{1,60}?)\s*:\s*(.+)$", 1)
+            item = (c["kind"] == "li") & (colon != "")
+            name = F.regexp_replace(c["text"], r"\s*:\s*$", "")
+            return F.when(item, F.struct(colon.alias("label"), F.regexp_extract(c["text"], r"^[^:]{1,60}?\s*:\s*(.+)$", 1).alias("value"))).when(F.coalesce(fits, F.lit(False)) & (name != ""), F.struct(name.alias("label"), after["text"].alias("value")))
+
+        return F.filter(F.transform(held, one), lambda p: p.isNotNull())
+
+    return T.let(cells, pairs)
+
+
 def announced_total(html: Column, most: int = 2000) -> Column:
     """The number of listings that a page announces, if it announces exactly one."""
     found = F.regexp_extract_all(T.fold(F.regexp_replace(html, "<[^>]*>", " ")), F.lit(r"\b(\d{1,5}) (?:annonces?|biens?|resultats?|logements?)\b(?! par (?:page|an))"), 1)

@@ -7,11 +7,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.functions.rows import latest
 from tallyspark.operators import aggregates as A
+from tallyspark.operators import crawl as K
 from tallyspark.operators import dedupe as D
 from tallyspark.operators import joins as J
 from tallyspark.operators import passes as P
 from tallyspark.operators import views as V
+from tallyspark.sources import pages as Pg
+from tallyspark.sources import tables as T
+from tallyspark.streaming import jobs
 from tallyspark.session import clear_stages, shared_dir, stage, unstage
 
 
@@ -166,3 +171,64 @@ def test_stages_can_be_removed(spark):
     assert own.startswith(shared_dir(spark).removeprefix("file://")) and os.path.exists(own)
     clear_stages(spark)
     assert not os.path.exists(own)
+
+
+def test_grouping_repaired_by_changes_equals_a_whole_one(spark):
+    rng = random.Random(11)
+    photo = lambda: [f"https://x.example/photo-2026{rng.randrange(12):08d}.jpg"]
+    def some():
+        return {"source_id": rng.choice("abc"), "phone": rng.choice([None, "1", "2", "3", "4"]), "price": float(rng.choice([700, 720, 800])), "area": rng.choice([22.81, 30.0, 31.0]), "rooms": rng.choice([1, 2, None]), "agency": rng.choice([None, "A", "B"]), "image_urls": rng.choice([None, photo()])}
+
+    now = [some() for _ in range(60)]
+    table = occurrences(spark, *now)
+    state = D.grouping(table)
+    for _ in range(3):
+        for i in rng.sample(range(len(now)), 6):
+            now[i] = some()
+        now += [some() for _ in range(4)]
+        gone = set(rng.sample(range(len(now)), 8))
+        table = occurrences(spark, *now).where(~F.col("id").isin(*map(str, gone)))
+        state = D.grouping(table, before=state)
+        got = {r["id"]: r["grp"] for r in D.of_groups(table, state).collect()}
+        assert got == {r["id"]: r["grp"] for r in D.dedupe(table).collect()}
+    same = D.grouping(table, before=state)
+    assert {tuple(r) for r in same.links.collect()} == {tuple(r) for r in state.links.collect()} and {tuple(r) for r in same.groups.collect()} == {tuple(r) for r in state.groups.collect()}
+
+
+def test_one_row_of_several(spark):
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 5, "c"), (1, 4, "z"), (2, None, None), (None, 1, "n")], "k int, at int, v string")
+    for shape in (rows, rows.repartition(3, "v"), rows.orderBy(F.desc("v"))):
+        assert {tuple(r) for r in latest(shape, ["k"], ["at"]).collect()} == {(1, 5, "c"), (2, None, None), (None, 1, "n")}
+    held = rows.withColumn("m", F.create_map(F.lit("a"), F.col("at")))
+    assert {(r["k"], r["v"], r["m"]["a"]) for r in latest(held, ["k"], ["at"]).where("k = 1").collect()} == {(1, "c", 5)}
+
+
+def test_realigned_ids_stay_different(spark):
+    rows = spark.createDataFrame([("x", "s", "1"), ("y", "s", "1"), ("s:2", "t", "9"), ("z", "s", "2"), ("q", "s", "3")], "id string, source_id string, source_ref string")
+    assert {(r["id"], r["source_ref"]) for r in P.realign(rows).collect()} == {("s:1", "1"), ("y", "1"), ("t:9", "9"), ("z", "2"), ("s:3", "3")}
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    apply = jobs.upsert_into(path, ["key"], lambda old, new: T.put(old, new, "key"), ["at"])
+    for n in range(4):
+        apply(spark.createDataFrame([(1, n, "a"), (1, n + 5, "b"), (n, 0, "c")], "key long, at int, value string"), n)
+    before = {tuple(r) for r in jobs.read_keyed(spark, path).collect()}
+    gone = jobs.vacuum(spark, path, 2)
+    assert gone and {tuple(r) for r in jobs.read_keyed(spark, path).collect()} == before and (1, 8, "b") in before
+    assert jobs.vacuum(spark, path, 2) == [] and jobs.vacuum(spark, str(tmp_path / "none")) == []
+
+
+def test_outcome_lattice(spark):
+    pages = spark.createDataFrame([("a", "l", 1, "read", False, 3), ("b", "l", 1, "unchanged", False, None), ("c", "l", 1, "read", True, None), ("d", "l", 1, "failed", False, None), ("e", "l", 1, "read", False, None), ("e", "m", 2, "blocked", False, None), ("e", "m", 3, "rateLimited", False, None), ("f", "l", 1, "read", False, None), ("f", "m", 2, "failed", False, None)], "source_id string, list_url string, ordinal int, status string, says_empty boolean, announced int")
+    stubs = spark.createDataFrame([("a", "1", 1), ("a", "2", 1), ("e", "1", 1), ("e", "2", 3), ("f", "1", 1), ("f", "2", 1)], "source_id string, source_ref string, ordinal int")
+    got = K.outcomes(pages, stubs)
+    assert {r["source_id"]: (r["stop_reason"], r["collected"], r["complete"]) for r in got.collect()} == {"a": ("completed", 2, False), "b": ("notModified", 0, False), "c": ("empty", 0, False), "d": ("tooManyErrors", 0, False), "e": ("blocked", 1, False), "f": ("completed", 2, False)}
+    details = spark.createDataFrame([("a", "1", True, None), ("f", "1", True, "5 €"), ("f", "2", False, None)], "source_id string, source_ref string, gone boolean, price_text string")
+    assert {(r["source_id"], r["source_ref"]): r["fate"] for r in K.references(got, stubs, details, stubs).collect()} == {("a", "1"): "withdrawn", ("a", "2"): "confirmed", ("f", "1"): "rendered", ("f", "2"): "confirmed"}
+
+
+def test_labels_of_a_page(spark):
+    page = "<ul><li>Prix : 1 : 2</li><li>rien</li></ul><DL><dt>A</dt><dt>B:</dt><dd>x<br>y</dd></DL><table><tr><th>C</th><td>1</td><td>2</td></tr></table><!-- <dt>q</dt><dd>q</dd> -->"
+    got = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(Pg.labelled(F.col("h")).alias("p")).collect()
+    assert [tuple(x) for x in got[0]["p"]] == [("Prix", "1 : 2"), ("B", "x y"), ("C", "1")] and not got[1]["p"] and not got[2]["p"]
