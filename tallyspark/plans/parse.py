@@ -206,9 +206,9 @@ SELECT CAST(o_custkey AS STRING) AS source_id, concat('l', CAST(o_orderkey % 3 A
  o_custkey % 8 = 1 AS says_empty, CASE WHEN o_custkey % 16 = 6 THEN 9999 WHEN o_custkey % 8 = 7 THEN 2 END AS announced FROM orders"""
 _STUBS = "SELECT CAST(o_custkey AS STRING) AS source_id, CAST(l_partkey AS STRING) AS source_ref, o_orderkey AS ordinal FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 8 NOT IN (0, 1, 2)"
 _VERDICT = f"""
-pg AS ({_PAGES}), sb AS ({_STUBS}), stop AS (SELECT source_id, min(ordinal) AS at, arg_min(status, ordinal) AS why FROM pg WHERE status IN ('rateLimited', 'blocked') GROUP BY source_id),
-n AS (SELECT p.source_id, count(*) FILTER (status = 'read') AS pages_fetched, count(*) FILTER (status = 'unchanged') AS u, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'read' AND says_empty) AS e, max(announced) FILTER (status = 'read') AS announced, min(why) AS why FROM pg p LEFT JOIN stop s ON s.source_id = p.source_id WHERE at IS NULL OR ordinal <= at GROUP BY p.source_id),
-l AS (SELECT source_id, count(DISTINCT list_url) AS lists FROM pg GROUP BY source_id), g AS (SELECT b.source_id, count(DISTINCT source_ref) AS collected FROM sb b LEFT JOIN stop s ON s.source_id = b.source_id WHERE at IS NULL OR ordinal < at GROUP BY b.source_id),
+pg AS ({_PAGES}), sb AS ({_STUBS}), stop AS (SELECT source_id, min(ordinal) AS halt, arg_min(status, ordinal) AS why FROM pg WHERE status IN ('rateLimited', 'blocked') GROUP BY source_id),
+n AS (SELECT p.source_id, count(*) FILTER (status = 'read') AS pages_fetched, count(*) FILTER (status = 'unchanged') AS u, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'read' AND says_empty) AS e, max(announced) FILTER (status = 'read') AS announced, min(why) AS why FROM pg p LEFT JOIN stop s ON s.source_id = p.source_id WHERE halt IS NULL OR ordinal <= halt GROUP BY p.source_id),
+l AS (SELECT source_id, count(DISTINCT list_url) AS lists FROM pg GROUP BY source_id), g AS (SELECT b.source_id, count(DISTINCT source_ref) AS collected FROM sb b LEFT JOIN stop s ON s.source_id = b.source_id WHERE halt IS NULL OR ordinal < halt GROUP BY b.source_id),
 v AS (SELECT n.source_id, CASE WHEN why IS NOT NULL THEN why WHEN u = lists THEN 'notModified' WHEN coalesce(collected, 0) = 0 AND e = lists THEN 'empty' WHEN coalesce(collected, 0) = 0 AND pages_fetched = 0 THEN 'tooManyErrors' ELSE 'completed' END AS stop_reason, pages_fetched, coalesce(collected, 0) AS collected, announced, f > 0 AS part FROM n JOIN l ON l.source_id = n.source_id LEFT JOIN g ON g.source_id = n.source_id)"""
 
 
