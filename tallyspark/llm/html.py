@@ -285,6 +285,37 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
         tag = rng.choice(["p"] * 8 + ["h2", "h3", "blockquote", "li", "td", "pre"])
         return f"<{tag}>{text}" + (f"</{tag}>" if rng.random() < 0.85 else "")
 
+    def rich(out: list) -> str:
+        """Text in other shapes: tables, definitions, code, figures, questions, lists, plain lines."""
+        figure = lambda: str(rng.choice([rng.randint(1, 99), rng.randint(1900, 2030), f"{rng.randint(1, 9)}.{rng.randint(0, 99)}"]))
+        short = lambda: rng.choice([words(1, 2), words(1, 4), figure(), figure()])
+        kind = rng.randrange(7)
+        if kind == 0:
+            rows, wide, head = rng.randint(1, 5), rng.randint(1, 4), rng.random() < 0.6
+            out += [True] * (wide * (rows + head))
+            line = lambda tag, f: "<tr>" + "".join(f"<{tag}>{f()}</{tag}>" for _ in range(wide)) + "</tr>"
+            return "<table>" + (line("th", lambda: words(1, 2)) if head else "") + "".join(line("td", short) for _ in range(rows)) + "</table>"
+        if kind == 1:
+            n = rng.randint(1, 4)
+            out += [True] * (2 * n)
+            return "<dl>" + "".join(f"<dt>{words(1, 3)}</dt><dd>{words(1, 10)}</dd>" for _ in range(n)) + "</dl>"
+        if kind == 2:
+            out.append(True)
+            return f"<pre>{word()} {figure()} --{word()}\n{word()}/{word()} = {figure()}</pre>"
+        if kind == 3:
+            out.append(True)
+            return f'<figure><img src="/x.jpg"><figcaption>{words(2, 12)}</figcaption></figure>'
+        if kind == 4:
+            out += [True, True]
+            return f"<h3>{words(2, 8)}?</h3><p>{words(3, 20)}.</p>"
+        if kind == 5:
+            n = rng.randint(2, 6)
+            out += [True] * n
+            tag = rng.choice(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{rng.choice([words(1, 4), words(4, 14) + '.'])}</li>" for _ in range(n)) + f"</{tag}>"
+        out += [True, True]
+        return f"<h2>{words(1, 5)}</h2><p>{words(3, 8)}.</p>"
+
     def nav(out: list) -> str:
         k = rng.randint(2, 8)
         if rng.random() < 0.2:  # links side by side in one block
@@ -298,15 +329,15 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
         out.append(False)
         return rng.choice(shapes).format(words(lo, hi) + rng.choice(["", "."]))
 
-    ad = ['<div class="ad">{}</div>', '<div class="advert banner"><p>{}</p></div>', '<div id="ads">{}</div>', '<aside class="sponsored promo"><p>{}</p></aside>', '<div class="advertisement">{}</div>']
-    foot = ['<div class="legal">&copy; {}</div>', '<div class="copyright">{}</div>', "<footer>&copy; {}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">&copy; {}</div>', '<div id="footer"><p>{}</p></div>', "<footer>&copy; {} &middot; x.example.com</footer>"]
-    head = ["<header>{}</header>", "<header><p>{}</p></header>", '<div class="header logo">{}</div>', '<div id="masthead"><p>{}</p></div>']
-    side = ['<div class="rail"><h3>{}</h3></div>', '<div class="read-more also"><p><a href="/x">{}</a></p></div>', '<div class="archive"><h3>{}</h3></div>', f'<div class="{word()}"><p><a href="/y">{{}}</a></p></div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div id="sidebar"><h3>{}</h3></div>', '<div class="widget related"><p>{}</p></div>']
+    ad = ['<div class="ad">{}</div>', '<div class="advert banner"><p>{}</p></div>', '<div id="ads">{}</div>', '<aside class="sponsored promo"><p>{}</p></aside>', '<div class="advertisement">{}</div>', '<div class="ad-slot">{}</div>', '<div class="promo-banner"><p>{}</p></div>']
+    foot = ['<div class="legal">&copy; {}</div>', '<div class="copyright">{}</div>', "<footer>&copy; {}</footer>", "<footer><p>{}</p></footer>", '<div class="footer">&copy; {}</div>', '<div id="footer"><p>{}</p></div>', "<footer>&copy; {} &middot; x.example.com</footer>", '<div class="footer">(c) {}</div>', '<div class="legal-notice"><p>{}</p></div>', "<footer><small>{}</small></footer>", "<address>{}@example.com</address>"]
+    head = ['<div class="topbar">{}</div>', '<div class="top-bar {0}">{0}</div>', "<header>{}</header>", "<header><p>{}</p></header>", '<div class="header logo">{}</div>', '<div id="masthead"><p>{}</p></div>']
+    side = ['<div class="rail"><h3>{}</h3></div>', '<div class="read-more also"><p><a href="/x">{}</a></p></div>', '<div class="archive"><h3>{}</h3></div>', f'<div class="{word()}"><p><a href="/y">{{}}</a></p></div>', "<aside><p>{}</p></aside>", '<div class="sidebar"><p>{}</p></div>', '<div id="sidebar"><h3>{}</h3></div>', '<div class="widget related"><p>{}</p></div>', '<div class="share"><a href="/s">{}</a></div>', '<div class="tags"><a href="/t">{}</a></div>', '<div class="pager"><a href="/n">{}</a></div>']
     notice = ['<div class="cookie notice">{}</div>', '<div class="cookie-banner consent"><p>{}</p></div>', '<div role="alert" class="notice">{}</div>', '<div class="popup newsletter modal"><p>{}</p></div>', '<div class="disclaimer notice"><p>{}</p></div>']
     form = ["<form><p>{}</p></form>", "<form><label>{}</label><input></form>", '<form class="search">{}<button></button></form>', "<form><button>{}</button></form>"]
     reply = ['<div class="comment"><p>{}</p></div>', '<section class="comments"><p>{}</p></section>', '<ol id="comments" class="commentlist"><li>{}</li></ol>', '<div class="reader comments discussion"><p>{}</p></div>']
     hold = [("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main" class="post entry">', "</div>"), ('<section class="article body">', "</section>"), ('<div class="story text">', "</div>"), ("<body>", "")]
-    hold += [('<div class="{0}">', "</div>")] * 5 + [('<div id="{0}"><div class="{1}-{0}">', "</div></div>")] * 3  # names that tell nothing
+    hold += [('<div class="{0}">', "</div>")] * 5 + [('<div id="{0}"><div class="{1}-{0}">', "</div></div>")] * 3 + [('<section class="{0}">', "</section>")] * 2  # names that tell nothing
     for _ in range(n):
         labels: list[bool] = []
         page = rng.choice(["<!DOCTYPE html>", ""]) + f'<html lang="{word()}"><head><title>{words(1, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
@@ -320,7 +351,7 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
                 labels.append(True)
                 page += f"<h1>{words(1, 12)}</h1>"
             for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14, 30])):
-                page += prose(labels)
+                page += rich(labels) if rng.random() < 0.2 else prose(labels)
                 if rng.random() < 0.05:
                     page += noise(labels, ad)
                 if rng.random() < 0.03:

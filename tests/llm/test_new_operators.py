@@ -7,6 +7,7 @@ import os
 import re
 import time
 from collections import Counter
+from functools import cache
 from zlib import crc32
 
 import duckdb
@@ -261,10 +262,15 @@ def test_repeated_rows_of_one_block():
 # --- long texts, identical rows, strays ------------------------------------------------------------------------------------------------------
 
 
+@cache
+def small_parser():
+    return langid.CrossParser({"x": "abc ab ca bca", "y": "cc ba aac b", "z": "é"}, 250)
+
+
 @given(st.lists(st.text("abc é", max_size=60), min_size=1, max_size=6), st.integers(1, 9))
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 def test_blocks_change_no_parse(texts, block):
-    parser = langid.CrossParser({"x": "abc ab ca bca", "y": "cc ba aac b", "z": "é"}, 250)
+    parser = small_parser()
     whole, letters = parser.phrases(texts)
     before, langid.BLOCK = langid.BLOCK, block
     try:
