@@ -13,6 +13,7 @@ from tallyspark.operators import crawl as K
 from tallyspark.operators import cut_words as W
 from tallyspark.operators import names as N
 from tallyspark.operators import normalize as Z
+from tallyspark.operators import records as Rc
 from tallyspark.plans.proxies import Registry
 from tallyspark.sources import pages as Pg
 from tallyspark.sources import payloads as P
@@ -74,6 +75,14 @@ def max_occupants(t):
     return _terms(t).select("id", G.max_occupants(F.col("w")).alias("people"))
 
 
+@R.add("l03_rent_lines", """
+SELECT id, CASE WHEN id % 6 = 4 AND id % 8 = 4 THEN NULL ELSE CASE id % 6 WHEN 0 THEN rent WHEN 1 THEN rent WHEN 2 THEN 1100.0::DOUBLE + id % 900 WHEN 4 THEN 900.0::DOUBLE WHEN 5 THEN rent END END AS rent, CASE id % 6 WHEN 0 THEN true WHEN 2 THEN false END AS included, CASE WHEN id % 2 = 0 THEN 30000.0::DOUBLE + n END AS luxury FROM terms""")
+def rent_lines(t):
+    rows = t.raw.select(F.col("contact_form_url").cast("long").alias("id"), G.rent(F.col("price_text"), F.lit(None).cast("double")).alias("r"))
+    grand = t.terms.select("id", G.rent(F.concat(F.lit("30 0"), s("n"), F.lit(" € par mois")), F.when(F.col("id") % 2 == 0, 300.0).otherwise(100.0))["amount"].alias("luxury"))
+    return rows.join(grand, "id").select("id", F.col("r.amount").alias("rent"), F.col("r.included").alias("included"), "luxury")
+
+
 # --- streets and addresses --------------------------------------------------------------------------------------------------------------
 
 _STREET = "CASE p_partkey % 8 WHEN 0 THEN concat(1 + p_size, ' rue de la ', b) WHEN 1 THEN concat('avenue ', b) WHEN 2 THEN concat(1 + p_size, ' bis boulevard ', b) WHEN 6 THEN concat('12-', 13 + p_size, ' quai ', b) END"
@@ -91,6 +100,13 @@ def street_address(t):
     return t.part.select("p_partkey", A.street_in_text(F.get(F.array(*cases), F.col("p_partkey").cast("int") % 8)).alias("street"))
 
 
+@R.add("j35_named_districts", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN b WHEN 1 THEN concat('Mont ', b) WHEN 4 THEN b END AS district FROM (SELECT p_partkey, concat('Ligne', chr(CAST(65 + p_size % 26 AS INTEGER))) AS b FROM part) x")
+def named_districts(t):
+    b = F.concat(F.lit("Ligne"), F.chr(F.lit(65) + F.col("p_size") % 26))
+    texts = [F.concat(F.lit("Studio quartier "), b, F.lit(" meublé")), F.concat(F.lit("secteur du Mont "), b, F.lit(", calme")), F.concat(F.lit("proche du quartier "), b), F.concat(F.lit("quartier Calme, "), b), F.concat(F.lit("Beau T2 (quartier de la "), b, F.lit("). Vue")), F.concat(F.lit("quartier calme "), b)]
+    return t.part.select("p_partkey", A.named_district(F.get(F.array(*texts), F.col("p_partkey").cast("int") % 6)).alias("district"))
+
+
 @R.add("q05_addresses", """
 SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN concat('20 rue ', w) ELSE concat(1 + p_size, ' rue ', w) END AS clean,
  CASE p_partkey % 4 WHEN 0 THEN concat(1 + p_size, ' rue ', w) WHEN 1 THEN concat('rue ', w, ' Nord') WHEN 2 THEN concat(1 + p_size, ' rue ', w) ELSE NULL END AS best FROM (SELECT p_partkey, p_size, concat('Ligne', chr(CAST(65 + p_size % 26 AS INTEGER))) AS w FROM part) x""")
@@ -147,6 +163,16 @@ def rederive(t):
     return found.select(k.alias("id"), "charges", "deposit", "max_occupants", F.array_join(names, ",").alias("changed"))
 
 
+@R.add("f34_wanted_ads", """
+SELECT source_id, count(*) AS n, count(*) FILTER (w) AS wanted, CASE WHEN count(*) FILTER (w) > 0 THEN 'cherche un appartement' END AS evidence, min(source_url) FILTER (w) AS example
+FROM (SELECT source_id, source_url, id % 19 = 0 AS w FROM (SELECT *, CAST(contact_form_url AS BIGINT) AS id FROM raw) y) x GROUP BY source_id""")
+def wanted_ads(t):
+    k = F.col("contact_form_url").cast("long")
+    # Others that only seem to ask: a noun, and an agency's search.
+    title = F.when(k % 19 == 0, F.col("title")).when(k % 2 == 0, F.concat(F.lit("Notre agence recherche un studio "), "title")).otherwise(F.concat("title", F.lit(" votre recherche de logement")))
+    return Rc.wanted_report(t.raw.select("source_id", "source_url", title.alias("title"), "description"))
+
+
 # --- payloads ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -77,9 +77,11 @@ def test_signals_of_pairs(spark):
         ({}, {**OTHER, "price": 1200.0}, 0, "distinct"), ({}, {**OTHER, "rooms": 3}, 0, "distinct"), ({}, {**OTHER, "city": "paris"}, 0, "distinct"), ({}, {"price": 801.0}, 0, "distinct"),
         ({"lat": 43.7, "lon": 7.2}, {**OTHER, "lat": 43.7001, "lon": 7.2001}, figures + 30, "duplicate"), ({"lat": 43.7, "lon": 7.2}, {**OTHER, "lat": 43.71, "lon": 7.2}, 0, "distinct"),
     ]
-    for a, b, strength, word in cases:
-        r = verdict(spark, a, b)
-        assert (r["strength"], r["verdict"]) == (strength, word), (a, b, r)
+    rows = D.prepared(occurrences(spark, *[x for a, b, _, _ in cases for x in (a, b)]))  # all pairs at once: each has a page and a number of its own
+    pairs = spark.createDataFrame([(str(2 * i), str(2 * i + 1)) for i in range(len(cases))], "a string, b string")
+    got = {int(r["a"]) // 2: r for r in D.verdicts(pairs, rows).collect()}
+    for i, (a, b, strength, word) in enumerate(cases):
+        assert (got[i]["strength"], got[i]["verdict"]) == (strength, word), (a, b, got[i])
 
 
 def test_areas_written_with_fewer_decimals(spark):
@@ -179,10 +181,10 @@ def test_grouping_repaired_by_changes_equals_a_whole_one(spark):
     def some():
         return {"source_id": rng.choice("abc"), "phone": rng.choice([None, "1", "2", "3", "4"]), "price": float(rng.choice([700, 720, 800])), "area": rng.choice([22.81, 30.0, 31.0]), "rooms": rng.choice([1, 2, None]), "agency": rng.choice([None, "A", "B"]), "image_urls": rng.choice([None, photo()])}
 
-    now = [some() for _ in range(60)]
+    now = [some() for _ in range(50)]
     table = occurrences(spark, *now)
     state = D.grouping(table)
-    for _ in range(3):
+    for _ in range(2):
         for i in rng.sample(range(len(now)), 6):
             now[i] = some()
         now += [some() for _ in range(4)]

@@ -15,6 +15,7 @@ from tallyspark.functions import text as T
 from tallyspark.operators import cut_words as W
 from tallyspark.operators import merge as M
 from tallyspark.operators import normalize as Z
+from tallyspark.operators import records as R
 from tallyspark.operators import views as V
 from tallyspark.sources import payloads as P
 
@@ -51,6 +52,12 @@ def test_deposits_and_fees(spark):
     given(spark, lambda x: G.max_occupants(G.lex(x)), [("4 personnes", 4), ("2/3 personnes", 3), ("6 couchages", 6), ("idéal pour 3 colocataires", 3), ("2 locataires au total", 2), ("1 locataire par chambre", None), ("90 personnes", None), ("studio", None), ("", None)])
 
 
+def test_wanted_ads(spark):
+    given(spark, lambda x: R.wanted_evidence(x, F.lit(None).cast("string")), [
+        ("Couple recherche un petit appartement", "recherche un petit appartement"), ("Notre agence recherche un studio", None), ("la recherche de logement", None), ("Je suis à la recherche d'un studio calme", "recherche d un studio"), ("Flat wanted in June", "flat wanted"), ("I am looking for a room", "for a room"),
+        ("If you are looking for a flat", None), ("studio à louer", None), ("", None), (None, None), ("cherche", None), ("nous cherchons colocation", "cherchons colocation")])
+
+
 def test_long_texts_of_lexemes(spark):
     text = "honoraires : 300 € " + "mot 12,5 m2 " * 40_000 + "dépôt de garantie : 600 €"
     given(spark, read(G.deposit_in_text, 800.0, 750.0), [(text, 600.0)])
