@@ -55,9 +55,14 @@ def known_refs(t):
     return P.known_refs(t.occ, lacking, "last_seen", F.lit("1995-01-01").cast("timestamp"))
 
 
-@R.add("d21_realign_ids", "SELECT concat(source_id, ':', source_ref) AS id, CAST(count(*) AS BIGINT) AS n FROM occ GROUP BY 1")
+_MOVED = "SELECT CASE WHEN group_id % 40 = 0 THEN concat(source_id, ':', CAST(CAST(source_ref AS BIGINT) + 1 AS STRING)) ELSE id END AS id, source_id, source_ref FROM occ"
+
+
+@R.add("d21_realign_ids", f"""
+WITH m AS ({_MOVED}), a AS (SELECT id, concat(source_id, ':', source_ref) AS aim FROM m), f AS (SELECT aim, min(id) AS first FROM a GROUP BY aim)
+SELECT CASE WHEN a.id = f.first AND a.aim NOT IN (SELECT id FROM m) THEN a.aim ELSE a.id END AS id, CAST(count(*) AS BIGINT) AS n FROM a JOIN f ON a.aim = f.aim GROUP BY 1""")
 def realign(t):
-    return P.realign(t.occ).groupBy("id").agg(F.count("*").alias("n"))
+    return P.realign(t.sql(_MOVED)).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @R.add("o17_closed_applications", f"""
