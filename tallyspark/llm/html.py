@@ -322,6 +322,8 @@ def teach(n: int, seed: int) -> Iterator[tuple[str, list[bool]]]:
             out.append(False)
             return f"<div class='{word()}'>" + " ".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(k)) + "</div>"
         out += [False] * k
+        if rng.random() < 0.15:  # links side by side in a table
+            return "<table><tr>" + "".join(f'<td><a href="/{word()}">{words(1, 3)}</a></td>' for _ in range(k)) + "</tr></table>"
         items = "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k))
         return rng.choice(["<nav><ul>{}</ul></nav>", f'<ul class="{word()}">{{}}</ul>', '<div class="menu"><ul>{}</ul></div>', '<ul class="nav navbar">{}</ul>', '<div id="navigation" role="navigation"><ul>{}</ul></div>', '<div class="breadcrumb"><ol>{}</ol></div>']).format(items)
 
