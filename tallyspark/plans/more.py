@@ -47,8 +47,10 @@ def uncovered(t):
 @R.add("d30_energy_records", "SELECT p_partkey AS id, substr('ABCDEFG', p_partkey % 7 + 1, 1) AS label FROM part WHERE p_partkey % 5 <> 0")
 def energy_records(t):
     k = F.col("p_partkey")
-    lst = t.part.select(k.alias("id"), F.lit("06000").alias("postal_code"), F.col("p_size").cast("double").alias("area"), F.concat(k.cast("string"), F.lit(" rue de la Paix")).alias("address"))
-    one = t.part.select(F.lit("06000").alias("postal_code"), (F.col("p_size") + 1).cast("double").alias("area"), F.concat(k.cast("string"), F.lit(" Rue de la Paix Nice")).alias("address"), F.substring(F.lit("ABCDEFG"), k.cast("int") % 7 + 1, F.lit(1)).alias("label"), k)
+    # A house number has four digits at most, so every 9,000 parts have a postal code of their own.
+    number, post = (k % 9000 + 1).cast("string"), F.lpad(F.floor(k / 9000).cast("string"), 5, "0")
+    lst = t.part.select(k.alias("id"), post.alias("postal_code"), F.col("p_size").cast("double").alias("area"), F.concat(number, F.lit(" rue de la Paix")).alias("address"))
+    one = t.part.select(post.alias("postal_code"), (F.col("p_size") + 1).cast("double").alias("area"), F.concat(number, F.lit(" Rue de la Paix Nice")).alias("address"), F.substring(F.lit("ABCDEFG"), k.cast("int") % 7 + 1, F.lit(1)).alias("label"), k)
     other = one.where(k % 5 == 0).withColumn("label", F.lit("Z"))
     return X.match_records(lst, one.union(other))
 
