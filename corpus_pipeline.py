@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import decontaminate, langid, minhash, mixing, tokens
+from tallyspark.llm import decontaminate, langid, minhash, mixing, simhash, tokens
 from tallyspark.session import load, stage
 
 
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (0.8 of five-word shingles): the one with the smallest doc_id."""
-    return minhash.keep_one(docs)
+    """One document of each group of near duplicates, the one with the smallest doc_id: SimHash fingerprints up to three bits apart, or 0.8 of five-word shingles, which those miss."""
+    return simhash.keep_lowest(docs, minhash.widened(docs, simhash.near_duplicates(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

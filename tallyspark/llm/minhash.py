@@ -196,6 +196,17 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     return stage(spark, marked.select("doc_id", "node").join(named.join(lowest, "label").select("node", "component_id"), "node").select("doc_id", "component_id"), "near")
 
 
+def widened(docs: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``near_duplicates`` of ``docs`` with the links of ``near`` (doc_id, component_id) as well: doc_id, component_id of the components of both."""
+    spark = docs.sparkSession
+    mine = near_duplicates(docs, similar)
+    other = stage(spark, near.select("doc_id", "component_id"), "fingerprinted")
+    labels = components(spark, mine.union(other).toDF("u", "v"))
+    unnamed = other.where("doc_id is null and component_id is not null")
+    rows = mine.union(unnamed)
+    return rows.join(labels, rows["component_id"] == labels["node"], "left").select("doc_id", F.coalesce("label", "component_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one document of each component of similar texts, chosen as ``simhash.keep_one`` does."""
     return keep_lowest(docs, near_duplicates(docs, similar))
