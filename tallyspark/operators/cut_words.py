@@ -10,6 +10,8 @@ from tallyspark.functions import text as T
 #: Letters that a cut word needs at least, so that it isn't ambiguous.
 LEAST = 4
 _CUT = "\u0001"
+#: Different texts are few bytes and much work: so many tasks share them at least.
+PIECES = 96
 
 
 def _pieces(x: Column) -> Column:
@@ -33,8 +35,9 @@ def complete(rows: DataFrame, column: str, vocabulary: DataFrame, word: str, ord
 
     Only different texts with a cut word are taken apart, and only different stems looked up; rows come back by their text, so they need no id and may repeat.
     """
-    pieces = rows.select(F.coalesce(column, F.lit("")).alias("__text")).where(F.regexp_like("__text", F.lit(r"\.\.|…"))).distinct().withColumn("__w", _pieces(F.col("__text")))
-    single = pieces.select("__text", F.posexplode("__w").alias("pos", "w")).withColumn("stem", F.replace("w", F.lit(_CUT), F.lit("")))
+    pieces = rows.select(F.coalesce(column, F.lit("")).alias("__text")).where(F.regexp_like("__text", F.lit(r"\.\.|…"))).distinct().repartition(PIECES, "__text")
+    # The outer form: the plain one is given a filter on its array, which is worked out anew for each of the filter's terms.
+    single = pieces.select("__text", F.posexplode_outer(_pieces(F.col("__text"))).alias("pos", "w")).where("pos is not null").withColumn("stem", F.replace("w", F.lit(_CUT), F.lit("")))
     asked = F.endswith("w", F.lit(_CUT)) & (F.length("stem") >= least)
     found = single.withColumn("look", F.when(asked, F.col("stem"))).join(heads(vocabulary, word, order, least).withColumnRenamed("stem", "look"), "look", "left")
     joined = found.groupBy("__text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full", "stem").alias("v")))), lambda p: p["v"]), " ").alias("__done"))
