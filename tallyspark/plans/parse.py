@@ -97,14 +97,14 @@ def street_address(t):
         F.concat(F.lit("Bel appartement, "), n, F.lit(" rue de la "), b, F.lit(", Nice")), F.concat(F.lit("T2 meublé. avenue "), b, F.lit(" très bien placé")), F.concat(F.lit("Au "), n, F.lit(" bis boulevard "), b, F.lit(" - STUDIO VIDE")), F.concat(F.lit("proche de la rue "), b),
         F.concat(far, n, F.lit(" rue "), b), F.concat(F.lit("libre 06/2027 boulevard "), b, F.lit(" à deux pas")), F.concat(F.lit("12-"), (F.col("p_size") + 13).cast("string"), F.lit(" quai "), b, F.lit(" 06000")), F.lit("").cast("string"),
     ]
-    return t.part.select("p_partkey", A.street_in_text(F.get(F.array(*cases), F.col("p_partkey").cast("int") % 8)).alias("street"))
+    return t.parts.select("p_partkey", A.street_in_text(F.get(F.array(*cases), F.col("p_partkey").cast("int") % 8)).alias("street"))
 
 
 @R.add("j35_named_districts", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN b WHEN 1 THEN concat('Mont ', b) WHEN 4 THEN b END AS district FROM (SELECT p_partkey, concat('Ligne', chr(CAST(65 + p_size % 26 AS INTEGER))) AS b FROM part) x")
 def named_districts(t):
     b = F.concat(F.lit("Ligne"), F.chr(F.lit(65) + F.col("p_size") % 26))
     texts = [F.concat(F.lit("Studio quartier "), b, F.lit(" meublé")), F.concat(F.lit("secteur du Mont "), b, F.lit(", calme")), F.concat(F.lit("proche du quartier "), b), F.concat(F.lit("quartier Calme, "), b), F.concat(F.lit("Beau T2 (quartier de la "), b, F.lit("). Vue")), F.concat(F.lit("quartier calme "), b)]
-    return t.part.select("p_partkey", A.named_district(F.get(F.array(*texts), F.col("p_partkey").cast("int") % 6)).alias("district"))
+    return t.parts.select("p_partkey", A.named_district(F.get(F.array(*texts), F.col("p_partkey").cast("int") % 6)).alias("district"))
 
 
 @R.add("q05_addresses", """
@@ -118,7 +118,7 @@ def addresses(t):
     stored = F.get(F.array(F.concat(F.lit("rue "), w), F.concat(F.lit("rue "), w, F.lit(" Nord")), F.concat(base, F.lit(" - vue mer")), F.lit("Nice centre")), k % 4)
     found = F.get(F.array(base, F.concat(F.lit("rue "), w), base, F.lit(None).cast("string")), k % 4)
     text = F.lit("libre en janvier 2024 20 rue")
-    return t.part.select("p_partkey", A.clean_address(given, F.lit("Saint-Laurent-du-Var"), F.lit("06700"), text).alias("clean"), A.best_address(stored, found).alias("best"))
+    return t.parts.select("p_partkey", A.clean_address(given, F.lit("Saint-Laurent-du-Var"), F.lit("06700"), text).alias("clean"), A.best_address(stored, found).alias("best"))
 
 
 # --- raw listings -----------------------------------------------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def payload(t):
     level = F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < depth), lambda i: F.concat(F.lit('{"child":'), (i * 3 + 3).cast("string"), F.lit(',"twin":'), (i * 3 + 2).cast("string"), F.lit(',"list":'), (i * 3 + 1).cast("string"), F.lit(',"gone":-1},[-1,'), (end + 1).cast("string"), F.lit(","), (end + 2).cast("string"), F.lit('],["Reactive",'), (i * 3 + 3).cast("string"), F.lit("]")))
     flat = F.concat(F.lit("["), F.array_join(F.concat(level, F.array(F.concat(F.lit('{"v":'), (end + 1).cast("string"), F.lit("}")), k, F.lit('"é"'))), ","), F.lit("]"))
     page = F.concat(F.lit('<html><script type="application/json" id="__NUXT_DATA__">'), flat, F.lit("</script></html>"))
-    return t.part.select("p_partkey", P.page_payload(page).alias("json"))
+    return t.parts.select("p_partkey", P.page_payload(page).alias("json"))
 
 
 _DOC = """SELECT event_id, concat('{"k":', CAST(event_id % 97 AS STRING), ',"s":"a', CAST(event_id % 5 AS STRING), '","b":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"n":null,"r":', CAST(event_id % 9 AS STRING), '.5,"o":{"x":', CAST(event_id % 7 AS STRING), '},"l":[1,"z"]}') AS doc FROM events"""
@@ -291,7 +291,7 @@ def complete_words(t):
 def fold_marks(t):
     marked = F.concat(F.lit("ÉTÉ — Saint-Étienne "), s("p_size"), F.lit(" Příliš žluťoučký a&amp;b "), F.upper("p_name"))
     lines = F.concat(F.lit("  ligne "), s("p_size"), F.lit(" \r\n\r\n\r\n x&eacute;&nbsp; y<br>"))
-    return t.part.select("p_partkey", T.fold(marked).alias("folded"), T.multiline(lines).alias("lines"))
+    return t.parts.select("p_partkey", T.fold(marked).alias("folded"), T.multiline(lines).alias("lines"))
 
 
 @R.add("j04_multiline_breaks", r"""
@@ -305,14 +305,14 @@ def multiline(t):
 @R.add("j06_french_tokens", "SELECT p_partkey, concat('studio meuble centre ', lower(replace(p_name, '-', ' '))) AS words FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: length(w) < 3)) = 0")
 def french_tokens(t):
     short = F.filter(F.split("p_name", " "), lambda w: F.length(w) < 3)
-    return t.part.where(F.size(short) == 0).select("p_partkey", F.array_join(T.tokens(F.concat(F.lit("Studio meublé dans le centre avec "), "p_name")), " ").alias("words"))
+    return t.parts.where(F.size(short) == 0).select("p_partkey", F.array_join(T.tokens(F.concat(F.lit("Studio meublé dans le centre avec "), "p_name")), " ").alias("words"))
 
 
 @R.add("j20_stale_features", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'lift' WHEN 1 THEN 'balcony,lift' ELSE '' END AS stale FROM part")
 def stale_features(t):
     text = F.get(F.array(F.concat("p_name", F.lit(" avec balcon")), F.col("p_name"), F.concat(F.lit("balcon et ascenseur "), "p_name")), F.col("p_size").cast("int") % 3)
     stored = F.array(F.lit("balcony"), F.lit("lift"), F.lit("pool"))
-    return t.part.select("p_partkey", F.array_join(X.stale_features(stored, text, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ",").alias("stale"))
+    return t.parts.select("p_partkey", F.array_join(X.stale_features(stored, text, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ",").alias("stale"))
 
 
 # --- places and pages -------------------------------------------------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def photo_origin(t):
     path = F.concat(F.lit("/photos/"), s("p_partkey"), F.lit(".jpg"))
     code = F.translate(F.base64(path.cast("binary")), "+/=", "-_")
     url = F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("https://x.example/"), s("p_partkey"), F.lit(".jpg"))).otherwise(F.concat(F.lit("https://img.proxy.example/ext/"), F.when(F.col("p_partkey") % 3 == 0, "_https_/").otherwise(""), F.lit("media.example/ab/"), code, F.lit("_r1.jpg")))
-    return t.part.select("p_partkey", X.photo_origin(url, r"^https://img\.proxy\.example/ext/(?:_(https?)_/)?([^/]+)/[0-9a-f]{2}/([A-Za-z0-9_-]+)_r").alias("photo"))
+    return t.parts.select("p_partkey", X.photo_origin(url, r"^https://img\.proxy\.example/ext/(?:_(https?)_/)?([^/]+)/[0-9a-f]{2}/([A-Za-z0-9_-]+)_r").alias("photo"))
 
 
 @R.add("p02_geocode_key", "SELECT id, concat('v3 ', lower(CASE WHEN address IS NULL THEN coalesce(city, '') WHEN city IS NULL THEN address ELSE concat(address, ' ', city) END)) AS key FROM (SELECT DISTINCT id, address, city FROM occ) x")

@@ -32,7 +32,7 @@ def s(name):
 @R.add("j01_entities", "SELECT p_partkey, concat('A&é ', chr(200 + p_size), '² ', chr(8364), chr(128512), '<b>') AS text FROM part")
 def entities(t):
     raw = cat("A&amp;&eacute; &#", (F.col("p_size") + 200).cast("string"), ";&sup2; &euro;&#128512;&lt;b&gt;")
-    return t.part.select("p_partkey", T.decode_entities(raw).alias("text"))
+    return t.parts.select("p_partkey", T.decode_entities(raw).alias("text"))
 
 
 @R.add("j02_clean", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
@@ -63,7 +63,7 @@ def jaccard(t):
 
 @R.add("j04_multiline", "SELECT p_partkey, concat(p_name, chr(10), 'two', chr(10), chr(10), p_brand) AS text FROM part")
 def multiline(t):
-    return t.part.select("p_partkey", T.multiline(cat("\n ", F.col("p_name"), " <br/>two  \n\n\n\n ", F.col("p_brand"), "\n")).alias("text"))
+    return t.parts.select("p_partkey", T.multiline(cat("\n ", F.col("p_name"), " <br/>two  \n\n\n\n ", F.col("p_brand"), "\n")).alias("text"))
 
 
 @R.add("j08_phone", "SELECT c_custkey, concat('+33', 400000000 + c_custkey) AS a, concat('+33', 400000000 + c_custkey) AS b, concat('+33', 600000000 + c_custkey) AS c, CAST(NULL AS STRING) AS d FROM customer")
@@ -84,14 +84,14 @@ SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'studio' WHEN 1 THEN 'apartment' W
 def property_type(t):
     titles = ["Beau Stûdio", "Appartement T2", "Maison de ville", "Box fermé, parking", "Local commercial", "Chambre chez l'habitant", " ", "Bien rare"]
     title = F.get(F.array(*[F.lit(x) for x in titles]), F.col("p_size") % 8)
-    return t.part.select("p_partkey", T.property_type(title).alias("kind"))
+    return t.parts.select("p_partkey", T.property_type(title).alias("kind"))
 
 
 @R.add("j12_flags", """
 SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS furnished, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS shared, p_partkey % 4 = 0 AS top, p_size % 5 = 0 AS student, p_size % 2 = 0 AS short FROM part""")
 def flags(t):
     pick = lambda n, m, *xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col(n) % m)
-    return t.part.select(
+    return t.parts.select(
         "p_partkey", T.furnished(pick("p_size", 3, "Loué meublé", "Non meublé", "bel appartement")).alias("furnished"), T.flat_share(pick("p_partkey", 3, "En colocation", "Colocation possible", "seul")).alias("shared"),
         T.top_floor(F.when(F.col("p_partkey") % 4 == 0, "Au dernier étage").otherwise("premier etage")).alias("top"), T.student_only(F.when(F.col("p_size") % 5 == 0, "Réservé aux étudiants").otherwise("tous")).alias("student"),
         T.short_lease(F.when(F.col("p_size") % 2 == 0, "bail de 9 mois").otherwise("bail de 3 ans")).alias("short"))
@@ -100,25 +100,25 @@ def flags(t):
 @R.add("j17_energy_label", "SELECT p_partkey, substr('ABCDEFG', p_size % 7 + 1, 1) AS dpe, substr('ABCDEFG', p_partkey % 7 + 1, 1) AS ges, substr('ABCDEFG', greatest(CASE WHEN p_size * 9 <= 70 THEN 1 WHEN p_size * 9 <= 110 THEN 2 WHEN p_size * 9 <= 180 THEN 3 WHEN p_size * 9 <= 250 THEN 4 WHEN p_size * 9 <= 330 THEN 5 WHEN p_size * 9 <= 420 THEN 6 ELSE 7 END, CASE WHEN p_size <= 6 THEN 1 WHEN p_size <= 11 THEN 2 WHEN p_size <= 30 THEN 3 ELSE 4 END), 1) AS worst FROM part")
 def energy(t):
     letter = lambda c: F.substring(F.lit("ABCDEFG"), F.col(c).cast("int") % 7 + 1, F.lit(1))
-    return t.part.select("p_partkey", T.energy(cat("classe dpe : ", letter("p_size"), " x")).alias("dpe"), T.energy(cat("GES : ", letter("p_partkey")), "ges").alias("ges"), L.energy_label(F.col("p_size") * 9, F.col("p_size")).alias("worst"))
+    return t.parts.select("p_partkey", T.energy(cat("classe dpe : ", letter("p_size"), " x")).alias("dpe"), T.energy(cat("GES : ", letter("p_partkey")), "ges").alias("ges"), L.energy_label(F.col("p_size") * 9, F.col("p_size")).alias("worst"))
 
 
 @R.add("j19_features", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'balcony' END, CASE WHEN p_size % 3 = 0 THEN 'lift' END], lambda x: x IS NOT NULL), ',') AS features FROM part")
 def features(t):
     text = cat("Logement", F.when(F.col("p_size") % 2 == 0, " avec balcon").otherwise(""), F.when(F.col("p_size") % 3 == 0, " et Ascenseur").otherwise(""))
-    return t.part.select("p_partkey", F.array_join(T.features(text, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ",").alias("features"))
+    return t.parts.select("p_partkey", F.array_join(T.features(text, {"balcony": r"\bbalcon\b", "lift": r"\bascenseur\b"}), ",").alias("features"))
 
 
 @R.add("j23_references", "SELECT p_partkey, concat('ab ', 1000 + p_partkey) AS refs FROM part")
 def references(t):
-    return t.part.select("p_partkey", F.array_join(T.references(cat("Réf : ab-", (F.col("p_partkey") + 1000).cast("string"), ", ref. 2024, réf ABCDE")), ",").alias("refs"))
+    return t.parts.select("p_partkey", F.array_join(T.references(cat("Réf : ab-", (F.col("p_partkey") + 1000).cast("string"), ", ref. 2024, réf ABCDE")), ",").alias("refs"))
 
 
 @R.add("j26_addresses", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS grade, CASE WHEN p_size % 3 = 0 THEN concat(p_size, 'bis') END AS number, true AS same FROM part WHERE p_size > 0")
 def addresses(t):
     n = s("p_size")
     a = F.when(F.col("p_size") % 3 == 0, cat(n, " bis rue de la Paix")).when(F.col("p_size") % 3 == 1, F.lit("Avenue Foch")).otherwise(F.lit("Nice centre"))
-    return t.part.where("p_size > 0").select("p_partkey", T.address_grade(a).alias("grade"), T.house_number(a).alias("number"), T.same_street(cat(n, " rue de la Paix"), F.lit("rue de la paix 06000")).alias("same"))
+    return t.parts.where("p_size > 0").select("p_partkey", T.address_grade(a).alias("grade"), T.house_number(a).alias("number"), T.same_street(cat(n, " rue de la Paix"), F.lit("rue de la paix 06000")).alias("same"))
 
 
 @R.add("j31_url_key", r"""
@@ -130,13 +130,13 @@ def url_key(t):
 
 @R.add("j32_photo_name", "SELECT p_partkey, concat('img', lpad(CAST(p_partkey AS STRING), 12, '0')) AS a, CAST(NULL AS STRING) AS b FROM part")
 def photo_name(t):
-    return t.part.select("p_partkey", T.photo_name(cat("https://x.example/a/IMG", F.lpad(s("p_partkey"), 12, "0"), ".JPG?w=1")).alias("a"), T.photo_name(F.lit("https://x.example/photo.jpg")).alias("b"))
+    return t.parts.select("p_partkey", T.photo_name(cat("https://x.example/a/IMG", F.lpad(s("p_partkey"), 12, "0"), ".JPG?w=1")).alias("a"), T.photo_name(F.lit("https://x.example/photo.jpg")).alias("b"))
 
 
 @R.add("j35_district", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Saint-Roch' WHEN 1 THEN 'Port' END AS district FROM part")
 def district(t):
     text = F.get(F.array(F.lit("quartier St Roch, Nice"), F.lit("vue sur le PORT"), F.lit("ailleurs")), F.col("p_size") % 3)
-    return t.part.select("p_partkey", T.district(text, {"Saint-Roch": "saint roch", "Port": "port"}).alias("district"))
+    return t.parts.select("p_partkey", T.district(text, {"Saint-Roch": "saint roch", "Port": "port"}).alias("district"))
 
 
 @R.add("j41_agency_key", "SELECT s_suppkey, concat('agence', s_suppkey, 'immo') AS key, concat('Agence ', s_suppkey, ' Immobilier') AS title FROM supplier")
@@ -160,7 +160,7 @@ def one_edit(t):
 
 @R.add("p03_one_edit_brands", "WITH w AS (SELECT DISTINCT p_brand AS w FROM part) SELECT a.w AS x, b.w AS y FROM w a JOIN w b ON a.w < b.w WHERE levenshtein(a.w, b.w) <= 1")
 def one_edit_brands(t):
-    w = t.part.select(F.col("p_brand").alias("x")).distinct()
+    w = t.parts.select(F.col("p_brand").alias("x")).distinct()
     return one_edit_pairs(w, w.toDF("y"), "x", "y").where("x < y")
 
 
@@ -203,20 +203,20 @@ def french_numbers(t):
     price = F.format_number("p_retailprice", 2)
     fr = F.replace(F.replace(price, F.lit(","), F.lit(" ")), F.lit("."), F.lit(","))
     n = F.lpad(s("p_size"), 3, "0")
-    return t.part.select("p_partkey", T.number(fr).alias("a"), T.number(cat("1.", n)).alias("b"), T.number(cat("1,000,", n)).alias("c"), T.number(F.lit("x1")).alias("d"))
+    return t.parts.select("p_partkey", T.number(fr).alias("a"), T.number(cat("1.", n)).alias("b"), T.number(cat("1,000,", n)).alias("c"), T.number(F.lit("x1")).alias("d"))
 
 
 @R.add("l03_rent", "SELECT p_partkey, 500.0::DOUBLE + p_size AS amount, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS included, CAST(NULL AS DOUBLE) AS weekly FROM part")
 def rent(t):
     end = F.get(F.array(F.lit(" € charges comprises"), F.lit(" € HC"), F.lit(" €")), F.col("p_size") % 3)
     r = T.rent(cat("Loyer ", (F.col("p_size") + 500).cast("string"), end))
-    return t.part.select("p_partkey", r["amount"].alias("amount"), r["charges_included"].alias("included"), T.rent(F.lit("300 € par semaine"))["amount"].alias("weekly"))
+    return t.parts.select("p_partkey", r["amount"].alias("amount"), r["charges_included"].alias("included"), T.rent(F.lit("300 € par semaine"))["amount"].alias("weekly"))
 
 
 @R.add("l05_sizes", "SELECT p_partkey, CASE WHEN p_size >= 5 THEN p_size + 0.5::DOUBLE END AS area, p_size % 6 + 1 AS rooms, 1 AS studio, p_size % 4 AS bedrooms FROM part")
 def sizes(t):
     n = s("p_size")
-    return t.part.select("p_partkey", T.area(cat("Surface ", n, ",5 m²")).alias("area"), T.rooms(cat("appartement ", (F.col("p_size") % 6 + 1).cast("string"), " pièces")).alias("rooms"), T.rooms(F.lit("joli studio")).alias("studio"), T.bedrooms(cat((F.col("p_size") % 4).cast("string"), " chambres")).alias("bedrooms"))
+    return t.parts.select("p_partkey", T.area(cat("Surface ", n, ",5 m²")).alias("area"), T.rooms(cat("appartement ", (F.col("p_size") % 6 + 1).cast("string"), " pièces")).alias("rooms"), T.rooms(F.lit("joli studio")).alias("studio"), T.bedrooms(cat((F.col("p_size") % 4).cast("string"), " chambres")).alias("bedrooms"))
 
 
 @R.add("l13_caps", """
@@ -229,7 +229,7 @@ def caps(t):
 @R.add("l16_travel", "SELECT p_partkey, floor(p_size * 1.3::DOUBLE / 4.5::DOUBLE * 60 + 0.5)::BIGINT AS walk, floor(p_size * 1.3::DOUBLE / 30 * 60 + 0.5)::BIGINT AS car, floor(least(p_size * 1.3::DOUBLE / 4.5::DOUBLE * 60, 25 + p_size * 1.3::DOUBLE / 50 * 60) + 0.5)::BIGINT AS transit, CASE WHEN p_retailprice / 500 >= 3 THEN 0 WHEN p_retailprice / 500 >= 2.5 THEN 6 WHEN p_retailprice / 500 >= 2 THEN 14 ELSE 22 END AS effort FROM part")
 def travel(t):
     km = F.col("p_size")
-    return t.part.select("p_partkey", L.travel_minutes(km, "walk").alias("walk"), L.travel_minutes(km, "car").alias("car"), L.travel_minutes(km, "transit").alias("transit"), L.effort_penalty(F.col("p_retailprice"), F.lit(500)).alias("effort"))
+    return t.parts.select("p_partkey", L.travel_minutes(km, "walk").alias("walk"), L.travel_minutes(km, "car").alias("car"), L.travel_minutes(km, "transit").alias("transit"), L.effort_penalty(F.col("p_retailprice"), F.lit(500)).alias("effort"))
 
 
 @R.add("l15_clamp", "SELECT event_id, CAST(least(greatest(floor(value - 50 + 0.5), 0), 100) AS INT) AS score, replace(CASE WHEN round(value, 1) = floor(round(value, 1)) THEN CAST(CAST(floor(round(value, 1)) AS BIGINT) AS STRING) ELSE printf('%.2f', round(value, 1)) END, '.', ',') AS text FROM events")
@@ -254,7 +254,7 @@ def json_remove(t):
 @R.add("n11_field_map", "SELECT p_partkey, p_brand AS value FROM part")
 def field_map(t):
     m = F.create_map(F.lit("Etage"), F.lit("3"), F.lit("Marque du bien"), F.col("p_brand"), F.lit("Autre marque"), F.lit(""))
-    return t.part.select("p_partkey", Js.field_matching(m, "(?i)marque").alias("value"))
+    return t.parts.select("p_partkey", Js.field_matching(m, "(?i)marque").alias("value"))
 
 
 @R.add("n12_distinct_join", "SELECT group_id, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS sources FROM occ WHERE group_id IS NOT NULL GROUP BY group_id")
@@ -314,6 +314,6 @@ def robots(t):
 @R.add("a04_drafts", "SELECT p_partkey AS ref, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 'detail' ELSE p_name END AS title, p_size AS area, CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE 'a' END AS extra FROM part")
 def drafts(t):
     k = F.col("p_partkey")
-    listed = t.part.select(k.alias("ref"), F.col("p_name").alias("title"), F.col("p_size").alias("area"), F.create_map(F.lit("x"), F.lit("a")).alias("extra"))
-    draft = t.part.where(k % 2 == 0).select(k.alias("ref"), F.when(k % 4 != 0, "detail").alias("title"), F.create_map(F.lit("x"), F.lit("b")).alias("extra"))
+    listed = t.parts.select(k.alias("ref"), F.col("p_name").alias("title"), F.col("p_size").alias("area"), F.create_map(F.lit("x"), F.lit("a")).alias("extra"))
+    draft = t.parts.where(k % 2 == 0).select(k.alias("ref"), F.when(k % 4 != 0, "detail").alias("title"), F.create_map(F.lit("x"), F.lit("b")).alias("extra"))
     return S.apply_drafts(listed, draft, ["ref"]).select("ref", "title", "area", F.col("extra")["x"].alias("extra"))
