@@ -1,5 +1,7 @@
 """Texts and keys are worked out once for what differs, not for each row or each use."""
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import merge as M
 
 
@@ -13,3 +15,12 @@ def test_pending_notifications_are_read_from_a_stage(spark):
     kept, echoes = M.redundant(pending, spark.createDataFrame([], "key string"), ("mail",))
     assert not any(f in plan(kept) + plan(echoes) for f in ("regexp", "sha2"))
     assert [r["id"] for r in kept.collect()] == ["a"] and [tuple(r) for r in echoes.collect()] == [("b", "a")]
+
+
+def test_requirements_are_read_once_for_a_text(spark):
+    texts = ["Revenus de 3 fois le loyer", "revenus mensuels de 2400 euros, garantie loyers impayés", "Visale acceptée, pas de garant", "bel appartement", None, "fois le loyer"]
+    rows = spark.createDataFrame([(g, i, g, t) for i, (g, t) in enumerate([(0, texts[3]), (0, texts[0]), (0, texts[1]), (1, texts[1]), (2, texts[2]), (3, None), (3, texts[3]), (4, texts[5])])], "group_id int, first_seen int, id int, description string")
+    found = rows.groupBy("group_id").agg(M.first_requirements(F.col("description")).alias("r"))
+    assert plan(found).count("translate(lower(") == 1
+    got = {r["group_id"]: r["r"] and tuple(r["r"]) for r in found.collect()}
+    assert got == {0: (None, 3, False, []), 1: (2400, None, True, []), 2: (None, None, False, ["visale"]), 3: None, 4: None}
