@@ -90,14 +90,17 @@ def spellings(rows: DataFrame, name: str = "agency") -> DataFrame:
 def agencies(rows: DataFrame) -> DataFrame:
     """Agencies: name, listings, sources as a sorted list, last sight.
 
-    Rows are read and combined once by key, spelling and listing; both roll-ups start from that exchange.
+    Rows are combined by spelling and source first, so that a spelling's key is worked out once and not for each row; the spellings, staged as they are read twice, then give the listings their keys.
     """
-    named = rows.where(F.col("agency").isNotNull()).select(T.agency_key(F.col("agency")).alias("key"), "agency", "group_id", "source_id", "last_seen")
-    per = named.groupBy("key", "agency", "group_id").agg(F.count("*").alias("n"), F.collect_set("source_id").alias("s"), F.max("last_seen").alias("last_seen"))
+    named = rows.where(F.col("agency").isNotNull())
+    seen = named.groupBy("agency", "source_id").agg(F.count("*").alias("n"), F.max("last_seen").alias("last_seen"))
+    spelled = seen.groupBy("agency").agg(F.sum("n").alias("n"), F.collect_list("source_id").alias("s"), F.max("last_seen").alias("last_seen"))
+    spelled = stage(rows.sparkSession, spelled.withColumn("key", T.agency_key(F.col("agency"))), "spellings")
     upper = F.when(F.col("agency") == F.upper("agency"), 1).otherwise(0)
-    names = per.groupBy("key", "agency").agg(F.sum("n").alias("n")).groupBy("key").agg(F.min_by("agency", F.struct(-F.col("n"), upper, F.col("agency"))).alias("name"))
-    sums = per.groupBy("key").agg(F.count_distinct("group_id").alias("listings"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ",").alias("sources"), F.max("last_seen").alias("last_seen"))
-    return sums.join(names, "key").select("key", "name", "listings", "sources", "last_seen")
+    sources = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))), ",")
+    sums = spelled.groupBy("key").agg(F.min_by("agency", F.struct(-F.col("n"), upper, F.col("agency"))).alias("name"), sources.alias("sources"), F.max("last_seen").alias("last_seen"))
+    listings = named.select("agency", "group_id").join(spelled.select("agency", "key"), "agency").groupBy("key").agg(F.count_distinct("group_id").alias("listings"))
+    return sums.join(listings, "key").select("key", "name", "listings", "sources", "last_seen")
 
 
 def histogram(rows: DataFrame, column: str, low: int, high: int, step: int) -> DataFrame:

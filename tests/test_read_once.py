@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyspark.operators import aggregates as A
 from tallyspark.operators import merge as M
 
 
@@ -24,3 +25,10 @@ def test_requirements_are_read_once_for_a_text(spark):
     assert plan(found).count("translate(lower(") == 1
     got = {r["group_id"]: r["r"] and tuple(r["r"]) for r in found.collect()}
     assert got == {0: (None, 3, False, []), 1: (2400, None, True, []), 2: (None, None, False, ["visale"]), 3: None, 4: None}
+
+
+def test_agency_keys_are_worked_out_for_spellings(spark):
+    rows = spark.createDataFrame([("Agence A", 1, "s1", 5), ("AGENCE A", 1, "s2", 7), ("Agence A", 2, None, 6), ("Agence A", None, "s1", 1), ("B", None, "s3", 2), (None, 9, "s4", 9)], "agency string, group_id int, source_id string, last_seen int")
+    found = A.agencies(rows)
+    assert "translate" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {("agencea", "Agence A", 2, "s1,s2", 7), ("b", "B", 0, "s3", 2)}
