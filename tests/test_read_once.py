@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import merge as M
+from tallyspark.operators import passes as P
 
 
 def plan(df):
@@ -32,3 +33,10 @@ def test_agency_keys_are_worked_out_for_spellings(spark):
     found = A.agencies(rows)
     assert "translate" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {("agencea", "Agence A", 2, "s1,s2", 7), ("b", "B", 0, "s3", 2)}
+
+
+def test_realigned_rows_go_to_their_aim_once(spark):
+    rows = spark.createDataFrame([("x", "s", "1"), ("y", "s", "1"), ("s:2", "t", "9"), ("z", "s", "2"), ("t:9", "t", "9"), (None, "u", "1")], "id string, source_id string, source_ref string")
+    found = P.realign(rows)
+    assert "Join" not in plan(found)
+    assert sorted((str(r["id"]), r["source_ref"]) for r in found.collect()) == [("None", "1"), ("s:1", "1"), ("s:2", "9"), ("t:9", "9"), ("y", "1"), ("z", "2")]
