@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that references are dealt into before they are told apart: a number that is given stays, and up to 200 parts are written without being sorted in memory.
+PARTS = 192
 #: Answers that end a source's crawl.
 REFUSALS = ("rateLimited", "blocked")
 
@@ -17,13 +19,17 @@ def outcomes(pages: DataFrame, stubs: DataFrame) -> DataFrame:
     completed; ``complete``: no list failed and all that is announced was found, so that what is missing is gone. Sources meet as counts, with map-side combining.
     """
     refused = pages.where(F.col("status").isin(*REFUSALS)).groupBy("source_id").agg(F.min(F.struct("ordinal", "status")).alias("stop"))
-    seen = pages.join(refused, "source_id", "left").where(F.col("stop").isNull() | (F.col("ordinal") <= F.col("stop.ordinal")))
-    lists = pages.groupBy("source_id").agg(F.count_distinct("list_url").alias("lists"))
-    is_ = lambda s: F.count(F.when(F.col("status") == s, 1))
-    told = seen.groupBy("source_id").agg(is_("read").alias("pages_fetched"), is_("unchanged").alias("unchanged"), is_("failed").alias("failed"), F.count(F.when((F.col("status") == "read") & F.col("says_empty"), 1)).alias("empty"), F.max(F.when(F.col("status") == "read", F.col("announced"))).alias("announced"), F.min("stop.status").alias("refusal"))
-    reached = stubs.join(refused, "source_id", "left").where(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop.ordinal")))
-    found = reached.groupBy("source_id").agg(F.count_distinct("source_ref").alias("collected"))
-    both = told.join(lists, "source_id").join(found, "source_id", "left").withColumn("collected", F.coalesce("collected", F.lit(0).cast("long")))
+    seen = F.col("stop").isNull() | (F.col("ordinal") <= F.col("stop.ordinal"))
+    is_ = lambda s: F.count(F.when(seen & (F.col("status") == s), 1))
+    empty = F.count(F.when(seen & (F.col("status") == "read") & F.col("says_empty"), 1))
+    counts = {"pages_fetched": is_("read"), "unchanged": is_("unchanged"), "failed": is_("failed"), "empty": empty}
+    each = pages.join(refused, "source_id", "left").groupBy("source_id", "list_url").agg(*[c.alias(k) for k, c in counts.items()], F.count(F.when(seen, 1)).alias("seen"), F.max(F.when(seen & (F.col("status") == "read"), F.col("announced"))).alias("announced"), F.min("stop.status").alias("refusal"))
+    told = each.groupBy("source_id").agg(*[F.sum(k).alias(k) for k in [*counts, "seen"]], F.max("announced").alias("announced"), F.min("refusal").alias("refusal"), F.count("list_url").alias("lists")).where("seen > 0 and source_id is not null").drop("seen")
+    # A reference stands on the first page that names it; each is dealt out by itself, so that a task holds few of them however many there are.
+    first = stubs.repartition(PARTS, "source_id", "source_ref").groupBy("source_id", "source_ref").agg(F.min("ordinal").alias("ordinal"))
+    reached = first.join(refused, "source_id", "left").where(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop.ordinal")))
+    found = reached.groupBy("source_id").agg(F.count("source_ref").alias("collected"))
+    both = told.join(found, "source_id", "left").withColumn("collected", F.coalesce("collected", F.lit(0).cast("long")))
     reason = (
         F.when(F.col("refusal").isNotNull(), F.col("refusal")).when(F.col("unchanged") == F.col("lists"), "notModified").when((F.col("collected") == 0) & (F.col("empty") == F.col("lists")), "empty")
         .when((F.col("collected") == 0) & (F.col("pages_fetched") == 0), "tooManyErrors").otherwise("completed")
@@ -40,10 +46,12 @@ def references(verdicts: DataFrame, stubs: DataFrame, details: DataFrame, known:
     """
     done = verdicts.where("stop_reason = 'completed'").select("source_id", "partial")
     keys = ["source_id", "source_ref"]
-    had = known.select(*keys).distinct().withColumn("known", F.lit(True))
-    read = details.groupBy(*keys).agg(F.max("gone").alias("gone"), F.max(F.col("price_text").isNotNull()).alias("priced"))
-    rows = stubs.select(*keys).distinct().join(done, "source_id").join(had, keys, "left").join(read, keys, "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    gone = yes("gone") & yes("known") & ~F.col("partial")
-    fate = F.when(gone, "withdrawn").when(yes("priced"), "rendered").when(yes("known"), "confirmed").otherwise("skipped")
+    none, yes = F.lit(False), F.lit(True)
+    marks = lambda df, **told: df.select(*keys, *[F.coalesce(told.get(c, none), none).alias(c) for c in ("stub", "known", "gone", "priced")])
+    named = F.col("source_ref").isNotNull()
+    met = marks(stubs, stub=yes).union(marks(known.where(named), known=yes)).union(marks(details.where(named), gone=F.col("gone"), priced=F.col("price_text").isNotNull()))
+    each = met.repartition(PARTS, *keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("stub", "known", "gone", "priced")]).where("stub")
+    rows = each.join(done, "source_id")
+    gone = F.col("gone") & F.col("known") & ~F.col("partial")
+    fate = F.when(gone, "withdrawn").when(F.col("priced"), "rendered").when(F.col("known"), "confirmed").otherwise("skipped")
     return rows.select(*keys, fate.alias("fate"))
